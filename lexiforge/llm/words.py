@@ -19,7 +19,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
-    x = x.astype(np.uint64)
+    x = np.atleast_1d(np.asarray(x).astype(np.uint64))  # arrays wrap around without a warning
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
