@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from .unify import has_beyond_ascii, unified
 
 #: A segment of no known kind is furniture if so many documents of so many sources hold it.
@@ -39,7 +40,7 @@ SLOT = "|".join(
         r"__[A-Z][A-Z0-9]*(_[A-Z0-9]+)*__",
         r"%[A-Z][A-Z0-9]*(_[A-Z0-9]+)*%",
         r"(?<![\w$#])\{\s*[\p{L}_][\p{L}\p{N}_.]{1,39}\s*\}",
-        r"\[(?![0-9A-F]{6,}\])(?=[^\]\n]*\p{L}{2})[\p{L}][\p{L}\p{N} _/'-]{2,39}\]",
+        r"\[(?![0-9A-Fa-f]{6,}\])(?=[^\]\n]*\p{L}{2})[\p{L}][\p{L}\p{N} _/'-]{2,39}\]",
         r"<(?![/!])(?=[^>\n]*(\p{L}+ \p{L}+))[\p{L}][\p{L}\p{N} _'-]{2,39}>",
     ]
 )
@@ -57,7 +58,7 @@ FILLER = [
 MENU = [
     "home", "about( us)?", "help", "contact( us)?", "sign in", "sign up", "log ?in", "log ?out", "register", "menu", "search", "back", "next", "previous", "news", "faq", "terms( of (use|service))?", "privacy( policy| settings)?", "cookie (policy|settings)", "all rights reserved", "contact the administrator", "site ?map", "copyright", "powered by \\w+", "version 0( 0)*", "ref(erence)? 0",
     "trang chu", "tin moi", "lien he", "gioi thieu", "dang nhap", "dang ky", "dang xuat", "quay lai", "tro ve", "tim kiem", "tro giup", "chinh sach rieng tu", "dieu khoan su dung", "phien ban 0( 0)*", "ban quyen( thuoc ve)?",
-    "rat tiec", "xin loi( quy khach| ban)?", "(we are |we re )?(so )?sorry", "oops", "whoops", "vui long thu lai sau( it phut)?", "please try again( later)?", "try again later", "\\w* ?mot chut nua thoi", "please wait", "vui long (cho|doi)( trong giay lat)?", "0", "c 0", "ma loi 0", "code 0",
+    "rat tiec", "xin loi( quy khach| ban)?", "(we are |we re )?(so )?sorry", "oops", "whoops", "vui long thu lai sau( it phut)?", "please try again( later)?", "try again later", "\\w* ?mot chut nua thoi", "please wait", "vui long (cho|doi)( trong giay lat)?", "0", "c 0", "(ma loi|code|ref(erence)?|ma theo doi|ma tham chieu|ma su co|tracking (code|id|number)|(request|incident|trace|event|ray|case) id|ma yeu cau)( (zhex|zcode|0))+",
 ]
 
 # Subjects and ends of error messages, after accents are dropped and numbers masked as 0.
@@ -108,12 +109,6 @@ def normalised(segment: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[^\p{L}0]+", " "))
 
 
-def segments(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, segment): the normalised lines and sentences of each text, empty ones left out."""
-    cut = F.split(F.col("_t"), r"[\n\r]+|(?<=[.!?…])\s+")
-    return df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.explode(F.array_distinct(F.transform(cut, normalised))).alias("segment")).where("segment != ''")
-
-
 def kind_of(segment: Column) -> Column:
     """The kind of a normalised segment: error, script, filler, furniture or null."""
     whole = lambda p: segment.rlike(f"^({p})$")
@@ -131,16 +126,34 @@ def kind_of(segment: Column) -> Column:
     )
 
 
-def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, slot, kinds, ordinary): each text that is residue; `kinds` are the kinds of its
-    segments. Rows with equal keys count as one text."""
-    d = df.select(F.col(key), F.col(source), consistent(F.col(text)).alias("_t")).where(F.col(key).isNotNull() & F.col("_t").isNotNull() & (F.col("_t") != ""))
-    return d
-
-
-def templates(seg: DataFrame) -> DataFrame:
-    """(hash, docs, sources, segment, kind) of every distinct segment."""
-    g = seg.groupBy(F.xxhash64("segment").alias("hash"), "source").agg(F.count("*").alias("docs"), F.first("segment").alias("segment"))
-    g = g.groupBy("hash").agg(F.sum("docs").alias("docs"), F.count("source").alias("sources"), F.first("segment").alias("segment"))
-    recurs = (F.col("docs") >= FURNITURE_DOCS) & (F.col("sources") >= FURNITURE_SOURCES)
-    return g.withColumn("kind", F.coalesce(kind_of(F.col("segment")), F.when(recurs, "furniture")))
+class Residue:
+    """texts: (key, source, slot, segments), written once; templates: see there; found: see there."""
+
+    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> None:
+        """Rows without a key or with a null or empty text have no part; rows of equal keys count as one text."""
+        t = df.select(F.col(key).alias("key"), F.col(source).alias("source"), consistent(F.col(text)).alias("text")).where("key is not null and text is not null and text != ''")
+        cut = F.split("text", r"[\n\r]+|(?<=[.!?…])\s+")
+        self.texts = write_table(t.select("key", "source", open_slot(F.col("text")).alias("slot"), F.filter(F.array_distinct(F.transform(cut, normalised)), lambda x: x != "").alias("segments")), "segments")
+
+    def templates(self) -> DataFrame:
+        """(hash, docs, sources, segment, kind) of every distinct segment; kind null is ordinary text.
+        Two steps, so that a segment which a third of all texts hold is first counted where it is read."""
+        seg = self.texts.select("source", F.explode("segments").alias("segment"))
+        g = seg.groupBy(F.xxhash64("segment").alias("hash"), "source").agg(F.count("*").alias("docs"), F.first("segment").alias("segment"))
+        g = g.groupBy("hash").agg(F.sum("docs").alias("docs"), F.count("*").alias("sources"), F.first("segment").alias("segment"))
+        recurs = (F.col("docs") >= FURNITURE_DOCS) & (F.col("sources") >= FURNITURE_SOURCES)
+        return g.withColumn("kind", F.coalesce(kind_of(F.col("segment")), F.when(recurs, "furniture")))
+
+    def found(self) -> DataFrame:
+        """(key, slot, kinds): the texts to leave out, with the kinds of their segments."""
+        known = self.templates().where("kind is not null").select("hash", "kind")
+        seg = self.texts.select("key", F.explode(F.transform("segments", lambda x: F.xxhash64(x))).alias("hash"))
+        kinds = seg.join(known, "hash", "left").groupBy("key").agg(F.collect_set("kind").alias("kinds"), F.max(F.col("kind").isNull()).alias("ordinary"))
+        slots = self.texts.groupBy("key").agg(F.max("slot").alias("slot"))
+        d = slots.join(kinds, "key", "left")
+        waste = ~F.coalesce("ordinary", F.lit(False)) & F.arrays_overlap("kinds", F.array(F.lit("error"), F.lit("script"), F.lit("filler")))
+        return d.where(F.col("slot") | waste).select("key", "slot", "kinds")
+
+    def kept(self, df: DataFrame, key: str = "doc_id") -> DataFrame:
+        """df without the texts found."""
+        return df.join(self.found().select(F.col("key").alias(key)), key, "left_anti")
