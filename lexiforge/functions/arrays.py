@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, also where f uses it inside a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -29,9 +35,11 @@ def mean(v: Column) -> Column:
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    m = mean(v)
-    var = total(F.transform(doubles(v), lambda x: (x - m) * (x - m))) / F.greatest(F.size(v), F.lit(1))
-    return F.transform(doubles(v), lambda x: (x - m) / F.sqrt(var + eps))
+    def scaled(m: Column) -> Column:
+        var = total(F.transform(doubles(v), lambda x: (x - m) * (x - m))) / F.greatest(F.size(v), F.lit(1))
+        return let(F.sqrt(var + eps), lambda s: F.transform(doubles(v), lambda x: (x - m) / s))
+
+    return let(mean(v), scaled)
 
 
 def gelu(x: Column) -> Column:
@@ -44,14 +52,15 @@ def gelu(x: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))
+    return let(F.array_max(v), lambda top: top + F.ln(total(F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def softmax_top(v: Column) -> Column:
     """(0-based place of the first highest value, its softmax probability); null for an empty array."""
-    top = F.array_max(v)
-    return F.when(F.size(v) > 0, F.struct((F.array_position(v, top) - 1).cast("int").alias("at"), (1 / total(F.transform(v, lambda x: F.exp(x - top)))).alias("p")))
+    def best(top: Column) -> Column:
+        return F.struct((F.array_position(v, top) - 1).cast("int").alias("at"), (1 / total(F.transform(v, lambda x: F.exp(x - top)))).alias("p"))
+
+    return F.when(F.size(v) > 0, let(F.array_max(v), best))
 
 
 def quantise(p: Column) -> Column:

@@ -120,9 +120,9 @@ def budget_matched(baseline: DataFrame, points: DataFrame) -> DataFrame:
     the point with the most right changes within its target of false ones. Both are small reports;
     points enter as one array, so no join without a key is needed."""
     packed = points.agg(F.collect_list(F.struct("threshold", "right", "false_per_1000")).alias("p")).select("p").scalar()
-    ok = F.filter(packed, lambda x: x["false_per_1000"] <= F.col("target") + 1e-9)
+    ok = F.filter("_p", lambda x: x["false_per_1000"] <= F.col("target") + 1e-9)
     best = F.array_max(F.transform(ok, lambda x: F.struct(x["right"].alias("right"), (-x["threshold"]).alias("t"))))
-    return baseline.select("setting", "target", (-best["t"]).alias("threshold"), best["right"].alias("right"))
+    return baseline.withColumn("_p", packed).select("setting", "target", (-best["t"]).alias("threshold"), best["right"].alias("right"))
 
 
 def class_tally(rows: DataFrame, cls: str, fix: str, truth: str, typed: str, known: Column) -> DataFrame:

@@ -60,7 +60,7 @@ def following(events: DataFrame, user: str, order: list[str], ts: str, word: str
     # The row that ends a sentence still belongs to it.
     nxt = [F.struct(F.lead(word, k).over(w).alias("w"), F.lead("_s", k).over(w).alias("s"), F.lead(ts, k).over(w).alias("t")) for k in range(1, n + 1)]
     d = d.withColumn("_n", F.array(*nxt))
-    ok = F.filter("_n", lambda x: (x["s"] == F.col("_s")) & (x["t"].cast("double") - F.col(ts).cast("double") < seconds))
+    ok = F.filter("_n", lambda x: (x["s"] == F.col("_s")) & (x["t"].cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double") < seconds))
     return d.withColumn("right", F.transform(ok, lambda x: x["w"])).drop("_n", "_s", "_ends")
 
 

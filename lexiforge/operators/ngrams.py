@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import quantise
-from ..session import small
+from ..session import cut, small
 from .tokens import sliding
 
 #: Backoff weight of a context that was pruned.
@@ -66,8 +66,9 @@ class KneserNey:
     unigrams (word, p1, g2), bigrams (b, w, n, p), trigrams (a, b, w, n, p), gammas (a, b, g3)."""
 
     def __init__(self, tokens: DataFrame, known: DataFrame, pair: int = 6, triple: int = 3, weight: Column | None = None) -> None:
-        self.c2 = counts(tokens, 2, known, weight)
-        self.c3 = counts(tokens, 3, known, weight)
+        # Written once: every table below is made from these counts.
+        self.c2 = cut(counts(tokens, 2, known, weight))
+        self.c3 = cut(counts(tokens, 3, known, weight))
         self.n2 = self.c3.groupBy("b", "w").agg(F.count("*").alias("n2"))
         n1 = self.c2.groupBy("w").agg(F.count("*").alias("n1"))
         self.context3 = self.c3.groupBy("a", "b").agg(F.sum("n").alias("total"), F.count("*").alias("types"))

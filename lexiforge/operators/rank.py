@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import LN_BILLION
 from ..functions.edits import slips
-from ..functions.syllable import compose, telex, telex_keys
+from ..functions.syllable import compose, telex, telex_keys, to_keys
 from ..functions.text import bare, match_case, same_word, struct_type
-from ..session import small
+from ..session import cut, small, spread
 from .lexicon import parsed_lexicon
 from .similar import two_slips_away
 
@@ -108,27 +108,48 @@ def confident(best: Column, typed: Column, second: Column, margin: float, floor:
     return F.coalesce((best >= floor) & (typed.isNull() | (best - typed >= margin)) & (second.isNull() | (best - second >= ambiguity)), F.lit(False))
 
 
-READINGS = T.ArrayType(struct_type(keys=T.StringType(), cost=T.DoubleType(), marks=T.BooleanType(), text=T.StringType()))
+def signature(keys: str) -> str:
+    """The letters of keys in order, without any tone key but the last: equal for all ways to type a
+    syllable that use the same keys. z, which clears a tone, is left out with all tones."""
+    tones = [c for c in keys if c in "sfrxj"]
+    rest = [c for c in keys if c not in "sfrxjz"]
+    if keys[:1] in "sfrxj":  # the initial consonant is no tone
+        rest.append(keys[:1])
+        tones = tones[1:]
+    return "".join(sorted(rest)) + "|" + ("" if "z" in keys else tones[-1] if tones else "")
 
 
-@F.arrow_udf(READINGS)
-def slip_readings(keys: pa.Array) -> pa.Array:
-    """The slips of keys, each with the syllable its keys compose to, if they do."""
-    out = []
-    for k in keys.to_pylist():
-        rows = []
-        for (t, m), c in slips(k).items() if k else ():
-            text, kind = compose(t)
-            rows.append({"keys": t, "cost": c, "marks": m, "text": text if kind == "vietnamese" else None})
-        out.append(rows)
-    return pa.array(out, pa.list_(pa.struct([("keys", pa.string()), ("cost", pa.float64()), ("marks", pa.bool_()), ("text", pa.string())])))
+def signatures(word: str) -> list[str]:
+    """The signatures of the ways to type a word: as to_keys has it, with one w for both letters of
+    ươ, and with w alone for ư."""
+    ways = {to_keys(word)}
+    ways |= {k.replace("uwow", "uow") for k in ways}
+    ways |= {k.replace("uw", "w", 1) for k in ways}
+    ways |= {"w" + k for k in ways if "aa" in k or "oo" in k}  # a hat typed over a horn or breve
+    ways |= {k.rstrip("sfrxj") + "z" for k in ways if k[-1:] not in "sfrxj"}
+    return sorted({signature(k) for k in ways})
+
+
+SLIPS = T.ArrayType(struct_type(keys=T.StringType(), cost=T.DoubleType(), marks=T.BooleanType(), signature=T.StringType()))
+
+
+@F.arrow_udf(SLIPS)
+def signed_slips(keys: pa.Array) -> pa.Array:
+    """The slips of keys, each with its signature."""
+    out = [[{"keys": t, "cost": c, "marks": m, "signature": signature(t)} for (t, m), c in slips(k).items()] if k else [] for k in keys.to_pylist()]
+    return pa.array(out, pa.list_(pa.struct([("keys", pa.string()), ("cost", pa.float64()), ("marks", pa.bool_()), ("signature", pa.string())])))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def word_signatures(words: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else signatures(w) for w in words.to_pylist()], pa.list_(pa.string()))
 
 
 def typed_scores(keys: DataFrame, words: DataFrame, tuning: Tuning = BALANCED) -> DataFrame:
     """(keys, shown, kind, en_score, syllable, typed): what distinct keys show and how well it is
     known: the best of the English word, the Vietnamese one, an escaped English word, and UNSEEN for a
     well-formed syllable; null if unknown."""
-    d = keys.select("keys").distinct().withColumn("_t", telex("keys"))
+    d = spread(keys.select("keys").distinct(), "keys").withColumn("_t", telex("keys"))
     d = d.select("keys", F.col("_t.text").alias("shown"), F.col("_t.kind").alias("kind"))
     d = d.withColumn("syllable", F.when(F.col("kind") == "vietnamese", F.col("shown")))
     w = small(words)
@@ -142,14 +163,18 @@ def typed_scores(keys: DataFrame, words: DataFrame, tuning: Tuning = BALANCED) -
 
 def near_candidates(keys: DataFrame, words: DataFrame, restrict: bool = True) -> DataFrame:
     """(keys, word, score, vi, en): words one slip away. keys has (keys, syllable). With
-    restrict, a well-formed syllable only changes its marks: same letters, a like tone."""
-    d = keys.select("keys", "syllable").distinct().withColumn("_s", F.explode(slip_readings("keys")))
-    d = d.select("keys", "syllable", F.col("_s.cost").alias("cost"), F.col("_s.marks").alias("marks"), F.col("_s.keys").alias("_k"), F.col("_s.text").alias("_v"))
+    restrict, a well-formed syllable only changes its marks: same letters, a like tone.
+
+    Most slips are no word's keys: they are dropped by signature, and only the rest is composed."""
+    d = spread(keys.select("keys", "syllable").distinct(), "keys").withColumn("_s", F.explode(signed_slips("keys")))
+    d = d.select("keys", "syllable", F.col("_s.cost").alias("cost"), F.col("_s.marks").alias("marks"), F.col("_s.keys").alias("_k"), F.col("_s.signature").alias("_g"))
     if restrict:
         d = d.where(F.col("marks") | F.col("syllable").isNull())
     w = small(words)
     en = d.join(w.where("en is not null").select(F.col("word").alias("_k"), "vi", "en"), "_k").select("keys", "syllable", F.col("_k").alias("word"), (F.col("en") - F.col("cost")).alias("s"), "vi", "en")
-    vi = d.join(w.where("vi is not null").select(F.col("word").alias("_v"), "vi", "en"), "_v").select("keys", "syllable", F.col("_v").alias("word"), (F.col("vi") - F.col("cost")).alias("s"), "vi", "en")
+    likely = words.where("vi is not null").select(F.explode(word_signatures("word")).alias("_g")).distinct()
+    vi = d.join(small(likely), "_g", "left_semi").withColumn("_t", telex("_k")).where("_t.kind = 'vietnamese'").withColumn("_v", F.col("_t.text"))
+    vi = vi.join(w.where("vi is not null").select(F.col("word").alias("_v"), "vi", "en"), "_v").select("keys", "syllable", F.col("_v").alias("word"), (F.col("vi") - F.col("cost")).alias("s"), "vi", "en")
     out = en.unionByName(vi).where((F.col("word") != F.col("keys")) & (F.col("syllable").isNull() | (F.col("word") != F.col("syllable"))))
     if restrict:
         out = out.where(F.col("syllable").isNull() | same_word(F.col("syllable"), F.col("word")))
@@ -226,14 +251,13 @@ def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspe
     mine = (personal if personal is not None else empty).select(F.lower("word").alias("lower"), F.col("fix").alias("own_fix"), F.lit(True).alias("own"))
     miss = (misspellings if misspellings is not None else empty.select(F.col("word").alias("keys"), "fix")).select("keys", F.col("fix").alias("misspelt"))
     d = d.join(small(mine), "lower", "left").join(small(miss), "keys", "left")
-    scored = typed_scores(d.where("keys is not null"), words, tuning)
+    scored = cut(typed_scores(d.where("keys is not null"), words, tuning))
     d = d.join(scored, "keys", "left").join(restored(scored, words, tuning), "keys", "left")
     known = F.coalesce(F.col("typed") >= F.when(F.col("syllable").isNotNull(), tuning.known_syllable).otherwise(tuning.known_word), F.lit(False))
     open_ = scored.where(~known)
-    near = near_candidates(open_, words)
-    near_top = top_two(near, ["keys"]).select("keys", F.col("best").alias("near"), F.col("best_score").alias("near_score"), F.col("second_score").alias("near_second"))
+    near_top = cut(top_two(near_candidates(open_, words), ["keys"])).select("keys", F.col("best").alias("near"), F.col("best_score").alias("near_score"), F.col("second_score").alias("near_second"))
     unknown = open_.where("typed is null")
-    nothing = unknown.join(near_top.where(confident(F.col("near_score"), F.lit(None).cast("double"), F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)), "keys", "left_anti")
+    nothing = cut(unknown.join(near_top.where(confident(F.col("near_score"), F.lit(None).cast("double"), F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)), "keys", "left_anti"))
     far_top = top_two(far_candidates(nothing, words), ["keys"]).select("keys", F.col("best").alias("far"), F.col("best_score").alias("far_score"), F.col("second_score").alias("far_second"))
     d = d.join(near_top, "keys", "left").join(far_top, "keys", "left").join(split_runs(nothing, words), "keys", "left")
     acronym = (F.char_length("raw") >= 2) & (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import FAR_COST, alignment_cost, slip_variants
 from ..functions.text import bag_distance, bare, deletions
-from ..session import small
+from ..session import small, spread
 
 
 def same_letters(words: DataFrame, word: str = "word") -> DataFrame:
@@ -33,7 +33,7 @@ def one_letter_apart(left: DataFrame, right: DataFrame, word: str = "word") -> D
 def slips_into(typed: DataFrame, lexicon: DataFrame, keys: str = "keys") -> DataFrame:
     """(keys, target, cost, marks): lexicon keys that one slip turns into what was typed. Distinct
     typed keys are varied once; lexicon (target, ...) is joined by equality."""
-    d = typed.select(keys).distinct().withColumn("_s", F.explode(slip_variants(keys)))
+    d = spread(typed.select(keys).distinct(), keys).withColumn("_s", F.explode(slip_variants(keys)))
     d = d.select(keys, F.col("_s.keys").alias("target"), F.col("_s.cost").alias("cost"), F.col("_s.marks").alias("marks"))
     return d.join(small(lexicon), "target")
 
@@ -55,7 +55,7 @@ def two_slips_away(typed: DataFrame, lexicon: DataFrame, keys: str = "keys", tar
     b = b.select(target, F.explode(forms(target)).alias("_k"))
     c = a.join(b, "_k").where((F.col(keys) != F.col(target)) & (F.abs(F.char_length(keys) - F.char_length(target)) <= 2)).select(keys, target).distinct()
     c = c.where(bag_distance(F.col(keys), F.col(target)) <= 4)
-    return c.withColumn("cost", alignment_cost(keys, target)).where(F.col("cost") <= limit)
+    return spread(c, keys).withColumn("cost", alignment_cost(keys, target)).where(F.col("cost") <= limit)
 
 
 def layout(rows: list[tuple[float, list[tuple[str, float]]]]) -> list[tuple[str, float, float, float, float]]:
@@ -64,7 +64,7 @@ def layout(rows: list[tuple[float, list[tuple[str, float]]]]) -> list[tuple[str,
     for y, (start, keys) in enumerate(rows):
         x = start
         for name, width in keys:
-            out.append((name, float(y), y + 1.0, x, x + width))
+            out.append((name, float(y), y + 1.0, float(x), float(x + width)))
             x += width
     return out
 

@@ -66,6 +66,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df by hash over all shuffle partitions, however few bytes it has: for work in Python that takes
+    far longer than its rows are large. A given number of partitions is not coalesced again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def hash_order(*cols: Column | str, seed: int = 7) -> Column:
     """A random order that neither partitions nor restarts change: a hash of the key and a seed."""
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
