@@ -20,6 +20,8 @@ from .unify import has_beyond_ascii, unified
 
 #: A segment of no known kind is furniture if so many documents of so many sources hold it.
 FURNITURE_DOCS, FURNITURE_SOURCES = 20, 8
+#: A longer segment is no message, whatever it begins with.
+MESSAGE = 400
 
 # Vietnamese letters by the plain letter they are built on.
 PLAIN = {"a": "àáảãạăằắẳẵặâầấẩẫậ", "e": "èéẻẽẹêềếểễệ", "i": "ìíỉĩị", "o": "òóỏõọôồốổỗộơờớởỡợ", "u": "ùúủũụưừứửữự", "y": "ỳýỷỹỵ", "d": "đ"}
@@ -62,22 +64,22 @@ MENU = [
 ]
 
 # Subjects and ends of error messages, after accents are dropped and numbers masked as 0.
-_EN_SUBJECT = r"((the|that|this|our|your|a) )?((requested|internal|upstream|remote|web|origin) )*(page|link|resource|document|file|address|url|article|site|website|service|server|gateway|host|database|system|application|app|request|session|access|connection|login|sign in|account|content|item|path)( to this (page|site|resource|server))?( you (wanted|requested|asked for|are looking for|were looking for|tried to (open|reach)))?"
-_EN_END = r"(was|is|has|have|had|could|can|cannot|can t|did|does|hit|returned|no|timed|encountered|stopped|ran|failed|took)( been| be| not| t)* ?(found|shown|displayed|loaded|opened|reached|available|unavailable|temporarily unavailable|moved( or (removed|deleted))?|removed|deleted|longer (exists?|available|here)|exist|answer|respond|down|overloaded|busy|closed|offline|denied|refused|rejected|blocked|allowed|forbidden|expired|invalid|valid|error|an (unexpected|internal) error|a bad response|an invalid response|out|maintenance|too long|failed|to (load|respond|connect))( (right now|at the moment|at this time|in time|for maintenance|for now|too many requests|anymore|any more|on this server|here|by the server|again))*"
+_EN_SUBJECT = r"((the|that|this|our|your|a) )?((requested|internal|upstream|remote|web|origin) ){0,3}(page|link|resource|document|file|address|url|article|site|website|service|server|gateway|host|database|system|application|app|request|session|access|connection|login|sign in|account|content|item|path)( to this (page|site|resource|server))?( you (wanted|requested|asked for|are looking for|were looking for|tried to (open|reach)))?"
+_EN_END = r"(was|is|has|have|had|could|can|cannot|can t|did|does|hit|returned|no|timed|encountered|stopped|ran|failed|took)( been| be| not| t){0,3} ?(found|shown|displayed|loaded|opened|reached|available|unavailable|temporarily unavailable|moved( or (removed|deleted))?|removed|deleted|longer (exists?|available|here)|exist|answer|respond|down|overloaded|busy|closed|offline|denied|refused|rejected|blocked|allowed|forbidden|expired|invalid|valid|error|an (unexpected|internal) error|a bad response|an invalid response|out|maintenance|too long|failed|to (load|respond|connect))( (right now|at the moment|at this time|in time|for maintenance|for now|too many requests|anymore|any more|on this server|here|by the server|again)){0,3}"
 _VI_SUBJECT = r"(trang( web)?( nay)?( (ban )?(ban )?(dang )?(tim|yeu cau|can)( kiem)?)?|duong dan( vua mo| nay| ban (mo|tim))?|lien ket( nay)?|noi dung( nay)?|bai viet( nay)?|tai lieu( ban can| nay)?|tap tin( nay)?|may chu|he thong|dich vu|cong ket noi|ket noi|ung dung|phien( lam viec| dang nhap)?( cua ban)?|luot (dang nhap|truy cap)( cua ban)?|yeu cau( cua ban)?|quyen truy cap( cua ban)?|truy cap( cua ban)?|tai khoan( cua ban)?)"
-_VI_END = r"((hien|da|dang|bi|khong|tam thoi|chua|het|vua|duoc|hien tai|con) )*(ton tai|con o day|o day|tim thay|bi go( bo)?|go( bo)?|xoa|chuyen( di| sang)? noi khac|truy cap duoc|kha dung|qua tai|gap (su co|loi)|loi|mat ket noi( co so du lieu)?|phan hoi|bao tri|ngung hoat dong|gian doan|het han|han|tu choi|hop le|khoa|chan|cho phep)( hay dang nhap lai| vui long dang nhap lai| luc nay)?"
+_VI_END = r"((hien|da|dang|bi|khong|tam thoi|chua|het|vua|duoc|hien tai|con) ){0,4}(ton tai|con o day|o day|tim thay|bi go( bo)?|go( bo)?|xoa|chuyen( di| sang)? noi khac|truy cap duoc|kha dung|qua tai|gap (su co|loi)|loi|mat ket noi( co so du lieu)?|phan hoi|bao tri|ngung hoat dong|gian doan|het han|han|tu choi|hop le|khoa|chan|cho phep)( hay dang nhap lai| vui long dang nhap lai| luc nay)?"
 _OTHER_ERRORS = r"(access|permission) (is )?(denied|forbidden)|(bad|invalid) (request|gateway)|(page )?not found|forbidden|unauthorized|internal server error|service (temporarily )?unavailable|gateway time ?out|too many requests|something went wrong|(an )?(unexpected |internal |unknown )?error( has)? occurred|(we )?(can t|cannot|could not|couldn t) (find|load|open|reach|connect to) (that|the|this|your) (page|file|site|server|link|resource)|khong tim thay trang|da (co|xay ra) loi( xay ra)?|loi (may chu|he thong|ket noi|khong xac dinh)|ban khong co quyen (truy cap|xem)( trang| noi dung)?( nay)?|khong the (tai|mo|ket noi|truy cap)( trang| may chu)?( nay)?"
 # Status codes and identifiers of a message.
-_CODE = r"((http|https|error|err|code|status|loi|ma loi|ma|ref|id|trang thai|zcode|0|zhex)( code| 0| zcode)* ?)+"
+_CODE = r"(?:https?|error|err|code|status|loi|ma loi|ma|ref|id|trang thai|zcode|0|zhex)"
 
-_SCRIPT_NAME = r"((java ?script|js|scripts?|cookies?)( (and|va|hoac|or|&) (java ?script|js|scripts?|cookies?))*)"
+_SCRIPT_NAME = r"((java ?script|js|scripts?|cookies?)( (and|va|hoac|or|&) (java ?script|js|scripts?|cookies?)){0,3})"
 _SCRIPT_RULES = [
     r"((please|you (need|have|ought) to|you (must|should)|(vui long|hay|xin( hay)?|ban (can|phai|hay|nen)))( please)? )?(enable|allow|turn on|switch on|activate|unblock|mo|bat|cho phep|kich hoat)( lai)?( the)? " + _SCRIPT_NAME + r"( (in|on|for|to|before|and|then|de|roi|truoc khi|trong|tren|cho)( .{1,60})?)?",
     r"(the|this|our|that|your) (\w+ )?(application|app|site|website|page|view|content|form|service)( (cannot|can t|does not|doesn t|will not|won t|stays|remains|is|needs|requires|only|may not|could not)) ?(start|work|works|run|load|open|blank|empty|be shown|display|function|properly|correctly|not|\w+)?( \w+){0,3} ?(without|while|with|when|unless|if|until) " + _SCRIPT_NAME + r"( (is|are))?( (blocked|disabled|switched off|turned off|off|enabled|allowed|turned on))?",
     r"(the|this|our) (\w+ )?(application|app|site|website|page|view) (needs|requires) " + _SCRIPT_NAME + r"( to .{1,40})?",
     _SCRIPT_NAME + r" (must|need to|have to|has to|should|phai|can|can phai) (be |duoc )?(allowed|enabled|turned on|switched on|bat|mo|cho phep|kich hoat)( (before|truoc khi|to|de|in|on|for) .{1,50})?",
     _SCRIPT_NAME + r" (is|are|dang|da) (bi )?(required|disabled|blocked|turned off|switched off|tat|chan)( (in|on|to|trong|tren) .{1,50})?",
-    r"(trang( web)?|muc|ung dung|noi dung|bieu mau|phan)( nay)? (khong|chi) (the )?(hien du|hien thi( du)?|chay duoc|chay|hoat dong|mo duoc|tai duoc|dung duoc)( (vi|khi|do|neu|voi))?( trinh duyet)?( (cua ban|da|dang|bi|khong))* ?(chan|thieu|tat|khong co|khong bat|bat|ho tro|vo hieu) " + _SCRIPT_NAME + r"( xem phan tro giup)?",
+    r"(trang( web)?|muc|ung dung|noi dung|bieu mau|phan)( nay)? (khong|chi) (the )?(hien du|hien thi( du)?|chay duoc|chay|hoat dong|mo duoc|tai duoc|dung duoc)( (vi|khi|do|neu|voi))?( trinh duyet)?( (cua ban|da|dang|bi|khong)){0,4} ?(chan|thieu|tat|khong co|khong bat|bat|ho tro|vo hieu) " + _SCRIPT_NAME + r"( xem phan tro giup)?",
     r"checking your browser( before .{1,40})?|dang kiem tra trinh duyet( cua ban)?",
     r"reload (the page )?after (changing|enabling|allowing) .{1,30}|tai lai trang sau khi (bat|mo|doi) .{1,30}",
 ]
@@ -113,16 +115,18 @@ def kind_of(segment: Column) -> Column:
     """The kind of a normalised segment: error, script, filler, furniture or null."""
     whole = lambda p: segment.rlike(f"^({p})$")
     some = lambda words: "|".join(sorted(words, key=len, reverse=True))
-    lead = rf"({_CODE} ?)?((rat tiec|xin loi|sorry|oops) )?"
-    tail = rf"( (vui long thu lai sau|please try again later|hay dang nhap lai))?( {_CODE})?"
+    lead = rf"(?:{_CODE} ){{0,6}}((rat tiec|xin loi|sorry|oops) )?"
+    tail = rf"( (vui long thu lai sau|please try again later|hay dang nhap lai))?(?: {_CODE}){{0,6}}"
     error = rf"{lead}({_EN_SUBJECT} {_EN_END}|{_VI_SUBJECT} {_VI_END}|{_OTHER_ERRORS}){tail}"
-    code = r"((http|error|err|status|loi|ma loi) )*zcode|zhex"
-    filler_word = rf"({some(FILLER)}|{some(MASH)}|{some(LATIN)}|0|(x+|z+|a+)\b)"
+    code = r"((http|error|err|status|loi|ma loi) ){0,4}zcode|zhex"
+    # Possessive repeats of whole words: time is linear in a segment of any length, and no stack grows.
+    run = lambda words: rf"(?:(?:{words})(?: |$))++"
+    short = F.char_length(segment) <= MESSAGE
     return (
-        F.when(whole("|".join(_SCRIPT_RULES)), "script")
-        .when(whole(error) | whole(code), "error")
-        .when(whole(rf"({some(MENU)}|zaddress)( ({some(MENU)}|zaddress))*"), "furniture")
-        .when(whole(rf"{filler_word}( {filler_word})*") | whole(r"(\w+)( \2){2,}"), "filler")
+        F.when(short & whole("|".join(_SCRIPT_RULES)), "script")
+        .when(short & (whole(error) | whole(code)), "error")
+        .when(whole(run(some([*MENU, "zaddress"]))), "furniture")
+        .when(whole(run(some([*FILLER, *MASH, *LATIN, "0", "x+", "z+", "a+"]))) | whole(r"(\w++)(?: \2(?= |$)){2,}+"), "filler")
     )
 
 

@@ -24,8 +24,13 @@ def seats(cells: list[tuple[int, float, int]], size: int) -> list[int]:
     """Seats of categories given as (available, share, minimum); ties go to the earlier category."""
     have = [n for n, _, _ in cells]
     floor = [min(n, max(0, least)) for n, _, least in cells]
-    if sum(floor) >= size:  # even the minimums don't fit: the smallest priorities among them
-        have, floor = floor, [0] * len(cells)
+    if sum(floor) == size:
+        return floor
+    if sum(floor) > size:  # the minimums don't fit: the smallest priorities among them, then those without a share
+        part = seats([(n, s, 0) for n, (_, s, _) in zip(floor, cells)], size)
+        for i, n in enumerate(floor):
+            part[i] += min(n - part[i], size - sum(part))
+        return part
     share = [max(0.0, s or 0.0) for _, s, _ in cells]
 
     def upto(x: float) -> list[int]:
