@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.corrupt import RULES
 from ..functions.edits import slip_kind
@@ -66,20 +68,18 @@ def diff(clean: Column, typed: Column) -> Column:
 CHAT_FORMS = "ko k hok khong kg dc đc vs ns mk mik j gi vk ck r rui z bt ntn".split()
 
 
+@F.arrow_udf(T.BooleanType())
+def rule_accepts(rules: pa.Array, right: pa.Array, wrong: pa.Array) -> pa.Array:
+    """Whether the checker of a rule takes (right, wrong) for one of its mistakes."""
+    checks = {r.id: r.check for r in RULES}
+    rows = zip(rules.to_pylist(), right.to_pylist(), wrong.to_pylist())
+    return pa.array([bool(r in checks and a and b and a != b and checks[r](a, b)) for r, a, b in rows], pa.bool_())
+
+
 def verified(df: DataFrame, rule: str = "rule", low: int = 1, high: int = 2) -> DataFrame:
     """Rows (clean, typed: token arrays, edits: array of (i, from, to), rule) whose listed edits
     are exactly their differences, each a mistake of the rule, of letters and digits, no chat form and
     no other word of the sentence."""
-    from pyspark.sql import types as T
-    import pyarrow as pa
-
-    checks = {r.id: r.check for r in RULES}
-
-    @F.arrow_udf(T.BooleanType())
-    def rule_accepts(rules: pa.Array, right: pa.Array, wrong: pa.Array) -> pa.Array:
-        rows = zip(rules.to_pylist(), right.to_pylist(), wrong.to_pylist())
-        return pa.array([bool(r in checks and a and b and a != b and checks[r](a, b)) for r, a, b in rows], pa.bool_())
-
     changed = diff(F.col("clean"), F.col("typed"))
     listed = F.array_sort(F.transform("edits", lambda e: e["i"]))
     d = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", changed).where(F.size("_c").between(low, high) & (F.col("_c") == listed))

@@ -18,10 +18,10 @@ KEYBOARD = "min_overlap double, keys array<struct<name:string,x0:double,x1:doubl
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, line_no, line) of text files. A file is read whole by one task, in order, so that a
     line has its number; large corpora come as many files."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    d = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    d = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     return d.where("line != ''").withColumn("line_no", (F.col("line_no") + 1).cast("long"))
 
 
