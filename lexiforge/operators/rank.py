@@ -255,11 +255,17 @@ def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspe
     d = d.join(scored, "keys", "left").join(restored(scored, words, tuning), "keys", "left")
     known = F.coalesce(F.col("typed") >= F.when(F.col("syllable").isNotNull(), tuning.known_syllable).otherwise(tuning.known_word), F.lit(False))
     open_ = scored.where(~known)
-    near_top = cut(top_two(near_candidates(open_, words), ["keys"])).select("keys", F.col("best").alias("near"), F.col("best_score").alias("near_score"), F.col("second_score").alias("near_second"))
+    near = cut(near_candidates(open_, words))
+    near_top = cut(top_two(near, ["keys"])).select("keys", F.col("best").alias("near"), F.col("best_score").alias("near_score"), F.col("second_score").alias("near_second"))
     unknown = open_.where("typed is null")
     nothing = cut(unknown.join(near_top.where(confident(F.col("near_score"), F.lit(None).cast("double"), F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)), "keys", "left_anti"))
     far_top = top_two(far_candidates(nothing, words), ["keys"]).select("keys", F.col("best").alias("far"), F.col("best_score").alias("far_score"), F.col("second_score").alias("far_second"))
     d = d.join(near_top, "keys", "left").join(far_top, "keys", "left").join(split_runs(nothing, words), "keys", "left")
+    d = d.join(near.groupBy("keys").agg(F.max(F.col("en").isNotNull() & F.col("vi").isNull()).alias("near_en")), "keys", "left")
+    d = d.join(near.select("keys", F.col("word").alias("near"), F.col("vi").alias("best_vi")), ["keys", "near"], "left")
+    d = d.withColumn("before", F.lower(F.try_element_at("history", F.lit(-1))))
+    d = d.join(small(words.select(F.col("word").alias("before"), F.col("vi").alias("before_vi"), F.col("en").alias("before_en"))), "before", "left")
+    phrase = english_phrase(F.col("before_vi"), F.col("before_en"), F.col("best_vi"), F.col("near_en"))
     acronym = (F.char_length("raw") >= 2) & (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw"))
     near_ok = confident(F.col("near_score"), F.col("typed") - tuning.rare, F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)
     far_ok = confident(F.col("far_score"), F.lit(None).cast("double"), F.col("far_second"), tuning.margin, tuning.far_floor, tuning.far_ambiguity)
@@ -272,6 +278,7 @@ def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspe
         (F.col("restored").isNotNull() & ~F.col("capital"), "restored", F.col("restored")),
         (known, "known", None),
         (F.col("capital") & (F.col("typed").isNotNull() | F.col("follows")), "name", None),
+        (near_ok & phrase, "english phrase", None),
         (near_ok & acronym & (F.col("near_score") < ACRONYM), "acronym", None),
         (near_ok, "near", F.col("near")),
         (F.col("typed").isNull() & F.col("split").isNotNull(), "split", F.col("split")),

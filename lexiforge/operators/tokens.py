@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, nfc
+from ..session import widen
 
 
 def token_array(text: Column) -> Column:
@@ -20,7 +21,7 @@ def token_array(text: Column) -> Column:
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
     """Rows with a text, and their tokens."""
-    return df.where(F.col(text).isNotNull()).withColumn("_nfc", nfc(text)).withColumn(out, token_array(F.col("_nfc"))).drop("_nfc")
+    return widen(df.where(F.col(text).isNotNull())).withColumn("_nfc", nfc(text)).withColumn(out, token_array(F.col("_nfc"))).drop("_nfc")
 
 
 def sliding(tokens: Column, n: int) -> Column:
@@ -52,7 +53,7 @@ def phrase_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, phrase, words): phrases of a text from 0, cut at every break. Words are lower case.
 
     Breaks are cut by a pattern, in time linear in the text, unlike phrases() with its growing arrays."""
-    d = df.where(F.col(text).isNotNull()).select(key, nfc(text).alias("_t"))
+    d = widen(df.where(F.col(text).isNotNull()).select(key, text)).select(key, nfc(text).alias("_t"))
     parts = F.filter(F.split(F.lower("_t"), r"[^\p{L}\s\p{Z}]+"), lambda p: p.rlike(r"\p{L}"))
     d = d.select(key, F.posexplode(parts).alias("phrase", "_p"))
     return d.select(key, "phrase", F.regexp_extract_all("_p", F.lit(r"\p{L}+"), F.lit(0)).alias("words"))

@@ -73,6 +73,16 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df over all cores if its files are too few and too small to give each core a part; else as it
+    is, without a shuffle. Judged from the plan alone; nothing runs."""
+    spark = df.sparkSession
+    files, cores = len(df.inputFiles()), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if 0 < files and max(files, size // part) < cores else df
+
+
 def hash_order(*cols: Column | str, seed: int = 7) -> Column:
     """A random order that neither partitions nor restarts change: a hash of the key and a seed."""
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])

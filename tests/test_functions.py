@@ -37,7 +37,7 @@ def test_telex():
 
 def test_keys_round_trip():
     random.seed(1)
-    for s in random.sample(sorted(s for s, letters in syllable.all_syllables().items() if "oo" not in letters and "oeo" not in letters), 3000):
+    for s in random.sample(sorted(s for s, letters in syllable.all_syllables().items() if not any(x in letters for x in ("oo", "oeo", "uơ"))), 3000):
         assert syllable.compose(syllable.to_keys(s)) == (s, "vietnamese")
         assert syllable.compose_vni(syllable.to_keys(s, syllable.VNI_KEYS, "12345"))[0] == s
     assert syllable.to_keys("Việt") == "Vieetj" and syllable.vni_to_telex("Vie6t5") == "Vieetj"

@@ -129,14 +129,14 @@ def test_signatures_cover_the_ways_to_type():
     assert found > 100 and missed <= 0.02 * found
 
 
-LEXICON = [("vi", "không", 9_000_000), ("vi", "của", 8_000_000), ("vi", "khong", 900), ("vi", "quan", 500_000), ("vi", "hệ", 400_000), ("vi", "tiếng", 900_000), ("vi", "việt", 800_000), ("en", "the", 50_000_000), ("en", "separate", 20_000), ("en", "until", 90_000), ("en", "quan", 300)]
+LEXICON = [("vi", "không", 9_000_000), ("vi", "của", 8_000_000), ("vi", "khong", 900), ("vi", "quan", 500_000), ("vi", "hệ", 400_000), ("vi", "tiếng", 900_000), ("vi", "việt", 800_000), ("en", "the", 50_000_000), ("en", "separate", 20_000), ("en", "until", 90_000), ("en", "quan", 300), ("en", "viet", 200)]
 
 
 def test_decisions(spark):
     lex = spark.createDataFrame([(l, i, w, n) for i, (l, w, n) in enumerate(LEXICON)], "lexicon string, line_no long, word string, per_billion long")
     words = rank.languages(lex)
     typed = ["khoong", "khong", "teh", "Teh", "seperate", "untill", "khogn", "quanheej", "xyzzy", "ab", "jabc", "tieengs", "The", "mywrd", "igno", "x1y"]
-    cases = spark.createDataFrame([(i, w, []) for i, w in enumerate(typed)] + [(90, "Khogn", ["the"])], "case_id int, raw string, history array<string>")
+    cases = spark.createDataFrame([(i, w, []) for i, w in enumerate(typed)] + [(90, "Khogn", ["the"]), (92, "vietj", ["until"]), (93, "vietj", [])], "case_id int, raw string, history array<string>")
     own = spark.createDataFrame([("mywrd", "my word"), ("igno", None)], "word string, fix string")
     got = {r.case_id: (r.stage, r.fix) for r in rank.decide(cases, words, personal=own).collect()}
     by = {w: got[i] for i, w in enumerate(typed)}
@@ -146,6 +146,7 @@ def test_decisions(spark):
     assert by["khogn"][0] in ("near", "far") and by["khogn"][1] == "không" and by["quanheej"] == ("split", "quan hệ")
     assert by["xyzzy"] == ("none", None) and by["ab"][0] == by["x1y"][0] == "not scored" and by["jabc"][0] == "protected"
     assert by["mywrd"] == ("personal fix", "my word") and by["igno"] == ("personal ignore", None) and got[90] == ("name", None)
+    assert got[92] == ("english phrase", None) and got[93] == ("near", "việt")
     votes = rank.history_votes(spark.createDataFrame([(1, ["the", "không"]), (2, ["zz"])], "k int, h array<string>"), "k", "h", words)
     assert [(r.k, round(r.vote, 6)) for r in votes.orderBy("k").collect()] == [(1, 0.3), (2, 0.0)]
     revised = spark.createDataFrame([(1, "việt", 9.0, 0.0, False), (1, "viet", 99.0, 0.0, False), (2, "hệ", 9.0, 0.0, True)], "k int, word string, score double, keep double, expanded boolean")
