@@ -49,12 +49,13 @@ SLOT = "|".join(
 #: What stands in quotation or code marks is talked about, not left open.
 QUOTED = r"```[^`]{0,400}```|`[^`\n]{0,120}`|\"[^\"\n]{0,120}\"|“[^”\n]{0,120}”|‘[^’\n]{0,120}’|«[^»\n]{0,120}»|(?<![\p{L}\p{N}])'[^'\n]{0,120}'(?![\p{L}\p{N}])"
 
+# A phrase below must not begin with another phrase of its list unless that one goes on optionally: repeats are possessive.
 # Words of filler, keyboard mashing and dummy Latin.
 MASH = "asdf qwer qwerty zxcv hjkl jkl fdsa uiop dfgh sdfg foo bar baz blah bla abc xyz test testing chu tet 123 1234 lorem".split()
 LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua
  vellum velit nullis etior tortis consec porta mollia ligulae semper urnae rutrum fauces magnis quisam""".split()
 FILLER = [
-    "lorem ipsum dolor sit amet", "text to come", "sample text goes here", "your (headline|text|title|content) here", "placeholder (copy|text)( to be replaced)?", "replace this text", "dummy (paragraph|text)( for layout)?", "insert text here", "(this is )?(a )?(dummy|sample|filler|placeholder) text",
+    "lorem ipsum dolor sit amet", "text to come", "your (headline|text|title|content) here", "placeholder (copy|text)( to be replaced)?", "replace this text", "dummy (paragraph|text)( for layout)?", "insert text here", "(this is )?(a )?(dummy|sample|filler|placeholder) text( goes here| for layout| to be replaced)?",
     "noi dung mau", "van ban giu cho", "tieu de mau( o day)?", "mo ta ngan se viet sau", "cho nay de chu sau", "doan nay se duoc thay sau", "day la doan van ban thu", "noi dung (se|dang) (duoc )?cap nhat( sau)?", "nhap noi dung (vao|tai) day",
 ]
 MENU = [
@@ -126,7 +127,7 @@ def kind_of(segment: Column) -> Column:
         F.when(short & whole("|".join(_SCRIPT_RULES)), "script")
         .when(short & (whole(error) | whole(code)), "error")
         .when(whole(run(some([*MENU, "zaddress"]))), "furniture")
-        .when(whole(run(some([*FILLER, *MASH, *LATIN, "0", "x+", "z+", "a+"]))) | whole(r"(\w++)(?: \2(?= |$)){2,}+"), "filler")
+        .when(whole(run(some([*FILLER, *MASH, *LATIN, "0", "x{3,}", "z{3,}", "a{3,}"]))) | whole(r"(\w++)(?: \2(?= |$)){2,}+"), "filler")
     )
 
 

@@ -4,7 +4,7 @@ from lexiforge.llm import residue
 
 BAD = [
     "Dear {{ first_name }},\nthanks for your order.", "Kính gửi [Tên người nhận], xin cảm ơn.", "Mã của bạn là <%= ma_don %>.", "Hi @@city@@ there", "Xin chào %HO_TEN%, hôm nay", "Gửi __DIA_CHI__ nhé", "at {order_id} now", "Người phụ trách: <Tên người nhận>", "to <<user.email>> soon", "${amount} đồng", "[[site_name]]",
-    "Lorem ipsum dolor sit amet. Text to come.", "asdf asdf xxx qwer", "Nội dung mẫu\nvăn bản giữ chỗ.", "LOREM IPSUM DOLOR SIT AMET",
+    "Lorem ipsum dolor sit amet. Text to come.", "asdf asdf xxx qwer", "Nội dung mẫu\nvăn bản giữ chỗ.", "LOREM IPSUM DOLOR SIT AMET", "Sample text goes here text to come\nyour headline here dummy text for layout placeholder text to be replaced.", "replace this text\nHjkl hjkl hjkl.",
     "404\nThe page you wanted could not be found.", "HTTP 502 | Máy chủ quá tải\nVui lòng thử lại sau.", "Home > Help\nYour request was blocked, too many requests.", "Oops, Bài viết đã bị gỡ. Reference: 978f095abb", "Rất tiếc! Phiên làm việc đã hết hạn.", "Phien lam viec bi tu choi", "Access denied", "Dịch\xa0vụ  tạm thời không phản hồi.",
     "Please enable JavaScript to view this page.", "Hãy mở script rồi tải lại trang.", "This site cannot start without javascript.\n© 2026 - All rights reserved", "Trang này không chạy được khi đang tắt JS, xem phần trợ giúp.", "Checking your browser... JavaScript và cookie phải được bật before the page opens.",
 ]
