@@ -5,7 +5,8 @@ case, no accents, white space collapsed, and numbers, addresses, dates and codes
 normalised segments are grouped by an exact hash over all documents and sources. Each distinct
 segment is classified once: by phrase rules (error message, demand for scripts, filler, page
 furniture such as menus and footers), or, if no rule fits but it recurs in many documents of many
-sources, as furniture. A text is residue if a slot meant to be filled was left open in it, outside
+sources, by looser cues: words of demands or errors anywhere in a short segment that tells nothing,
+half its words filler, and else furniture. A text is residue if a slot meant to be filled was left open in it, outside
 quotation and code marks, or if it holds error messages, demands or filler and nothing else but
 furniture. Null and empty texts are not residue.
 """
@@ -52,15 +53,24 @@ QUOTED = r"```[^`]{0,400}```|`[^`\n]{0,120}`|\"[^\"\n]{0,120}\"|“[^”\n]{0,12
 # A phrase below must not begin with another phrase of its list unless that one goes on optionally: repeats are possessive.
 # Words of filler, keyboard mashing and dummy Latin.
 MASH = "asdf qwer qwerty zxcv hjkl jkl fdsa uiop dfgh sdfg foo bar baz blah bla abc xyz test testing chu tet 123 1234 lorem".split()
-LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua
+LATIN = """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua
+ enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur
+ excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum
+ perspiciatis unde omnis iste natus voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae illo inventore veritatis quasi architecto beatae vitae dicta explicabo
+ nemo ipsam quia voluptas aspernatur odit aut fugit consequuntur magni dolores ratione sequi nesciunt neque porro quisquam dolorem numquam eius modi tempora incidunt quaerat
+ nonummy nibh euismod tincidunt laoreet aliquam erat volutpat wisi minim suscipit lobortis eum iriure hendrerit vulputate molestie illum feugiat facilisis eros accumsan iusto odio dignissim blandit praesent luptatum zzril delenit augue feugait facilisi
+ pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas vestibulum tortor quam ultricies eget ante donec mauris placerat eleifend leo quisque vivamus integer cras curabitur aenean phasellus fusce nullam maecenas
+ suspendisse pulvinar sagittis posuere cursus mattis lectus viverra purus faucibus ornare bibendum gravida rhoncus risus venenatis ligula sapien condimentum convallis dapibus dictum dictumst diam efficitur elementum fermentum finibus fringilla habitasse hac iaculis imperdiet interdum justo lacinia lacus libero luctus massa maximus metus molestie mollis nunc orci platea potenti pretium proin sodales sollicitudin scelerisque tellus tempus ullamcorper urna varius vehicula vel vestibulum volutpat vulputate
  vellum velit nullis etior tortis consec porta mollia ligulae semper urnae rutrum fauces magnis quisam""".split()
+# Words of dummy Latin that are words of other languages too, or too short to tell: filler only beside other filler.
+LATIN_TOO = "a ab ac ad at cum do dui e est et eu ex hic id in ita mi nam nec non per qui sem si te tation ut".split()
 FILLER = [
     "lorem ipsum dolor sit amet", "text to come", "your (headline|text|title|content) here", "placeholder (copy|text)( to be replaced)?", "replace this text", "dummy (paragraph|text)( for layout)?", "insert text here", "(this is )?(a )?(dummy|sample|filler|placeholder) text( goes here| for layout| to be replaced)?",
     "noi dung mau", "van ban giu cho", "tieu de mau( o day)?", "mo ta ngan se viet sau", "cho nay de chu sau", "doan nay se duoc thay sau", "day la doan van ban thu", "noi dung (se|dang) (duoc )?cap nhat( sau)?", "nhap noi dung (vao|tai) day",
 ]
 MENU = [
-    "home", "about( us)?", "help", "contact( us)?", "sign in", "sign up", "log ?in", "log ?out", "register", "menu", "search", "back", "next", "previous", "news", "faq", "terms( of (use|service))?", "privacy( policy| settings)?", "cookie (policy|settings)", "all rights reserved", "contact the administrator", "site ?map", "copyright", "powered by \\w+", "version 0( 0)*", "ref(erence)? 0",
-    "trang chu", "tin moi", "lien he", "gioi thieu", "dang nhap", "dang ky", "dang xuat", "quay lai", "tro ve", "tim kiem", "tro giup", "chinh sach rieng tu", "dieu khoan su dung", "phien ban 0( 0)*", "ban quyen( thuoc ve)?",
+    "(home|start)( ?page)?", "(return|go( back)?) (to )?(the )?(home( ?page)?|start page|previous page)", "skip to (main )?content", "subscribe", "follow us", "read more", "loading", "nginx( 0)*", "cloudflare( ray id)?( zhex)?", "about( us)?", "help", "contact( us)?", "sign in", "sign up", "log ?in", "log ?out", "register", "menu", "search", "back( to (the )?(home( ?page)?|top))?", "next", "previous", "news", "faq", "terms( of (use|service))?", "privacy( policy| settings)?", "cookie (policy|settings)", "all rights reserved", "contact the administrator", "site ?map", "copyright", "powered by \\w+", "version 0( 0)*", "ref(erence)? 0",
+    "(quay )?(ve|lai) trang (chu|truoc)", "xem them", "trang chu", "tin moi", "lien he", "gioi thieu", "dang nhap", "dang ky", "dang xuat", "quay lai", "tro ve", "tim kiem", "tro giup", "chinh sach rieng tu", "dieu khoan su dung", "phien ban 0( 0)*", "ban quyen( thuoc ve)?",
     "rat tiec", "xin loi( quy khach| ban)?", "(we are |we re )?(so )?sorry", "oops", "whoops", "vui long thu lai sau( it phut)?", "please try again( later)?", "try again later", "\\w* ?mot chut nua thoi", "please wait", "vui long (cho|doi)( trong giay lat)?", "0", "c 0", "(ma loi|code|ref(erence)?|ma theo doi|ma tham chieu|ma su co|tracking (code|id|number)|(request|incident|trace|event|ray|case) id|ma yeu cau)( (zhex|zcode|0))+",
 ]
 
@@ -69,7 +79,7 @@ _EN_SUBJECT = r"((the|that|this|our|your|a) )?((requested|internal|upstream|remo
 _EN_END = r"(was|is|has|have|had|could|can|cannot|can t|did|does|hit|returned|no|timed|encountered|stopped|ran|failed|took)( been| be| not| t){0,3} ?(found|shown|displayed|loaded|opened|reached|available|unavailable|temporarily unavailable|moved( or (removed|deleted))?|removed|deleted|longer (exists?|available|here)|exist|answer|respond|down|overloaded|busy|closed|offline|denied|refused|rejected|blocked|allowed|forbidden|expired|invalid|valid|error|an (unexpected|internal) error|a bad response|an invalid response|out|maintenance|too long|failed|to (load|respond|connect))( (right now|at the moment|at this time|in time|for maintenance|for now|too many requests|anymore|any more|on this server|here|by the server|again)){0,3}"
 _VI_SUBJECT = r"(trang( web)?( nay)?( (ban )?(ban )?(dang )?(tim|yeu cau|can)( kiem)?)?|duong dan( vua mo| nay| ban (mo|tim))?|lien ket( nay)?|noi dung( nay)?|bai viet( nay)?|tai lieu( ban can| nay)?|tap tin( nay)?|may chu|he thong|dich vu|cong ket noi|ket noi|ung dung|phien( lam viec| dang nhap)?( cua ban)?|luot (dang nhap|truy cap)( cua ban)?|yeu cau( cua ban)?|quyen truy cap( cua ban)?|truy cap( cua ban)?|tai khoan( cua ban)?)"
 _VI_END = r"((hien|da|dang|bi|khong|tam thoi|chua|het|vua|duoc|hien tai|con) ){0,4}(ton tai|con o day|o day|tim thay|bi go( bo)?|go( bo)?|xoa|chuyen( di| sang)? noi khac|truy cap duoc|kha dung|qua tai|gap (su co|loi)|loi|mat ket noi( co so du lieu)?|phan hoi|bao tri|ngung hoat dong|gian doan|het han|han|tu choi|hop le|khoa|chan|cho phep)( hay dang nhap lai| vui long dang nhap lai| luc nay)?"
-_OTHER_ERRORS = r"(access|permission) (is )?(denied|forbidden)|(bad|invalid) (request|gateway)|(page )?not found|forbidden|unauthorized|internal server error|service (temporarily )?unavailable|gateway time ?out|too many requests|something went wrong|(an )?(unexpected |internal |unknown )?error( has)? occurred|(we )?(can t|cannot|could not|couldn t) (find|load|open|reach|connect to) (that|the|this|your) (page|file|site|server|link|resource)|khong tim thay trang|da (co|xay ra) loi( xay ra)?|loi (may chu|he thong|ket noi|khong xac dinh)|ban khong co quyen (truy cap|xem)( trang| noi dung)?( nay)?|khong the (tai|mo|ket noi|truy cap)( trang| may chu)?( nay)?"
+_OTHER_ERRORS = r"(access|permission) (is )?(denied|forbidden)|(bad|invalid) (request|gateway)|(page )?not found|forbidden|unauthorized|internal server error|service (temporarily )?unavailable|gateway time ?out|too many requests|something went wrong|(an )?(unexpected |internal |unknown )?error( has)? occurred|(we )?(can t|cannot|could not|couldn t) (find|load|open|reach|connect to) (that|the|this|your) (page|file|site|server|link|resource)|khong tim thay trang|da (co|xay ra) loi( xay ra)?|loi (may chu|he thong|ket noi|khong xac dinh)|(access|permission) to (this|the) (page|site|resource|server) (has been|was|is) (denied|forbidden|blocked)|you (do not|don t) have (permission|access|authorization) to (access|view|open|see)( (this|the|that))?( (page|site|resource|file|content|server|document|folder|directory|0))?( on this server)?|(the )?(requested )?(url|page|file) (0 )?(was )?not found( on this server)?|method not allowed|not acceptable|(connection|request|session|operation|server)( has)? (timed out|time ?out|reset|refused|closed|expired)|this (site|page|website) (can t be reached|cannot be reached|isn t working|is not working|isn t available|doesn t exist|does not exist)( right now)?|(we )?(re |are )?(experiencing|having) (some )?technical (difficulties|problems)|error establishing a database connection|(the )?(web ?)?server (is|returned an?) (down|unknown error)|(the )?page you (are|were) looking for (might have been|may have been|has been|was|is|can t be|cannot be|could not be|doesn t|does not|no longer) (removed|moved|deleted|found|unavailable|exists?)|(an )?application error( a client side exception has occurred)?|fatal error|stack overflow error|out of memory|ban khong co quyen (truy cap|xem)( trang| noi dung)?( nay)?|khong the (tai|mo|ket noi|truy cap)( trang| may chu)?( nay)?"
 # Status codes and identifiers of a message.
 _CODE = r"(?:https?|error|err|code|status|loi|ma loi|ma|ref|id|trang thai|zcode|0|zhex)"
 
@@ -81,10 +91,24 @@ _SCRIPT_RULES = [
     _SCRIPT_NAME + r" (must|need to|have to|has to|should|phai|can|can phai) (be |duoc )?(allowed|enabled|turned on|switched on|bat|mo|cho phep|kich hoat)( (before|truoc khi|to|de|in|on|for) .{1,50})?",
     _SCRIPT_NAME + r" (is|are|dang|da) (bi )?(required|disabled|blocked|turned off|switched off|tat|chan)( (in|on|to|trong|tren) .{1,50})?",
     r"(trang( web)?|muc|ung dung|noi dung|bieu mau|phan)( nay)? (khong|chi) (the )?(hien du|hien thi( du)?|chay duoc|chay|hoat dong|mo duoc|tai duoc|dung duoc)( (vi|khi|do|neu|voi))?( trinh duyet)?( (cua ban|da|dang|bi|khong)){0,4} ?(chan|thieu|tat|khong co|khong bat|bat|ho tro|vo hieu) " + _SCRIPT_NAME + r"( xem phan tro giup)?",
+    r"((we re|we are) )?sorry (but )?(\w+ ){1,5}(cannot|can t|does not|doesn t|will not|won t) (work|run|load|start)( properly| correctly)? without " + _SCRIPT_NAME + r"( (enabled|on|turned on))?",
+    r"(please )?(enable|allow|turn on) (it|them) (to|and) (continue|proceed|reload|try again|use .{1,30})",
+    r"(it (looks|seems|appears) (like|that) )?(your browser|trinh duyet( cua ban)?) (does not|doesn t|has|is|khong|da|dang|chua) (support|disabled|blocking|blocked|not|ho tro|tat|chan|bat) " + _SCRIPT_NAME + r"( (disabled|turned off|switched off))?",
+    r"(it (looks|seems|appears) (like|that) )?(you have |you ve )?(disabled|turned off|switched off|blocked) " + _SCRIPT_NAME + r"( in your browser)?",
+    r"(please )?(verify|confirm) (that )?you are (a )?human( by .{1,40})?|ban co phai( la)? nguoi may( khong)?",
     r"checking your browser( before .{1,40})?|dang kiem tra trinh duyet( cua ban)?",
     r"reload (the page )?after (changing|enabling|allowing) .{1,30}|tai lai trang sau khi (bat|mo|doi) .{1,30}",
 ]
 
+# Looser cues for segments that recur. "loi" alone is no cue: without accents it is also a word of speech or gain.
+_SCRIPT_CUE = r"enabled?|disabled?|allow(ed)?|requir(ed?|es)|support(ed|s)?|without|block(ed|er|ing)?|turn(ed)? (on|off)|switch(ed)? (on|off)|activated?|needs?|bat|tat|mo|chan|cho phep|kich hoat|yeu cau|ho tro|can"
+_ERROR_CUE = r"error|exception|fail(ed|ure|s)?|denied|forbidden|unauthori[sz]ed|not found|can(not| t) be (found|reached|displayed|loaded)|could not be (found|reached|displayed|loaded|opened)|unavailable|time ?out|timed out|refused|rejected|expired|overloaded|went wrong|bad (gateway|request)|under maintenance|no longer (exists?|available)|(http|status|code|err|ma|loi|trang thai) zcode|zcode (http|status|code|err|ma|loi)|(bi|gap|co|xay ra|ma) loi|loi (may chu|he thong|ket noi|mang|trang|tai|0)|su co|qua tai|dang bao tri|khong (tim thay|ton tai|kha dung|truy cap duoc|the (tai|mo|ket noi|truy cap))|bi (tu choi|chan|gian doan)|het han"
+_FILLER_CUE = ["placeholder", "dummy", "filler", "sample", "headline", "giu", "mau"]
+#: Words of a narrator: a segment with one tells of a message.
+_TOLD = r"i|he|she|they|who|why|which|said|says|say|asked?|asks|told|tells?|explain(ed|s)?|wrote|writes?|saw|showed|shows|made|makes|solved|fixed|agreed|laughed|thought|yesterday|last (night|week|month|year)|(we|the team) (had|have|got|found|use[ds]?|were)|nobody|everyone|toi|minh|anh ay|co ay|ho|nguoi ta|ban nao|nguoi nao|ai|hom (qua|nay|truoc|kia)|(sang|chieu|toi) (nay|qua)|ca (buoi|ngay)|cuoi cung|hoa ra|noi rang|bao rang|ke rang|giai thich|tai sao|vi sao|se thay"
+#: A segment of more words tells something.
+MESSAGE_WORDS = 20
+
 
 def bare(col: Column) -> Column:
     """Lower case without Vietnamese accents."""
@@ -123,14 +147,35 @@ def kind_of(segment: Column) -> Column:
     # Possessive repeats of whole words: time is linear in a segment of any length, and no stack grows.
     run = lambda words: rf"(?:(?:{words})(?: |$))++"
     short = F.char_length(segment) <= MESSAGE
+    filler = [*FILLER, *MASH, *LATIN, *LATIN_TOO, "0", "x{3,}", "z{3,}", "a{3,}"]
+    n, sure, any_ = _shares(segment)
+    mostly = (n >= 6) & (any_ >= 0.8 * n) & (sure >= 0.5 * n)
     return (
         F.when(short & whole("|".join(_SCRIPT_RULES)), "script")
         .when(short & (whole(error) | whole(code)), "error")
         .when(whole(run(some([*MENU, "zaddress"]))), "furniture")
-        .when(whole(run(some([*FILLER, *MASH, *LATIN, "0", "x{3,}", "z{3,}", "a{3,}"]))) | whole(r"(\w++)(?: \2(?= |$)){2,}+"), "filler")
+        .when(whole(run(some(filler))) & ~whole(run(some([*LATIN_TOO, "0"]))) | mostly | whole(r"(\w++)(?: \2(?= |$)){2,}+"), "filler")
     )
 
 
+def _shares(segment: Column) -> tuple[Column, Column, Column]:
+    """The number of words, of words of filler, and of those or words that may be filler."""
+    words = F.split(segment, " ")
+    count = lambda of: F.size(F.filter(words, lambda w: w.isin(of)))
+    return F.size(words), count([*MASH, *LATIN]), count([*MASH, *LATIN, *LATIN_TOO])
+
+
+def loose_kind_of(segment: Column) -> Column:
+    """The kind of a normalised segment that recurs widely and fits no rule: error, script, filler or null."""
+    holds = lambda p: segment.rlike(rf"(?<!\w)({p})(?!\w)")
+    words = F.split(segment, " ")
+    n = F.size(words)
+    message = (n <= MESSAGE_WORDS) & ~holds(_TOLD)
+    filler = F.size(F.filter(words, lambda w: w.isin([*MASH, *LATIN, *LATIN_TOO, *_FILLER_CUE])))
+    certain = F.exists(words, lambda w: w.isin([*MASH, *LATIN, *_FILLER_CUE[:3]]))
+    return F.when(message & holds(_SCRIPT_NAME) & holds(_SCRIPT_CUE), "script").when(message & holds(_ERROR_CUE), "error").when((n >= 3) & (filler >= 0.5 * n) & certain, "filler")
+
+
 class Residue:
     """texts: (key, source, slot, segments), written once; templates: see there; found: see there."""
 
@@ -147,7 +192,7 @@ class Residue:
         g = seg.groupBy(F.xxhash64("segment").alias("hash"), "source").agg(F.count("*").alias("docs"), F.first("segment").alias("segment"))
         g = g.groupBy("hash").agg(F.sum("docs").alias("docs"), F.count("*").alias("sources"), F.first("segment").alias("segment"))
         recurs = (F.col("docs") >= FURNITURE_DOCS) & (F.col("sources") >= FURNITURE_SOURCES)
-        return g.withColumn("kind", F.coalesce(kind_of(F.col("segment")), F.when(recurs, "furniture")))
+        return g.withColumn("kind", F.coalesce(kind_of(F.col("segment")), F.when(recurs, F.coalesce(loose_kind_of(F.col("segment")), F.lit("furniture")))))
 
     def found(self) -> DataFrame:
         """(key, slot, kinds): the texts to leave out, with the kinds of their segments."""

@@ -51,3 +51,24 @@ def test_empty_and_long(spark):
     long = "từ thường " * 20_000
     d = spark.createDataFrame([(1, long), (2, long + "\n{{ten}}"), (3, "lorem ipsum " * 20_000)], "doc_id long, text string").selectExpr("*", "'s' as source")
     assert {x.key for x in residue.Residue(d).found().collect()} == {2, 3}
+
+
+def test_standard_wordings(spark):
+    bad = [
+        "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+        "We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.", "We're sorry but my shop doesn't work properly without JavaScript enabled.",
+        "404 Not Found\nnginx/1.18.0", "You don't have permission to access this resource on this server.", "This site can't be reached",
+        "lorem ipsum dolor wrrgl amet consectetur adipiscing elit",
+    ]
+    good = ["In do ut et ad, non id.", "In 5 do et", "The Latin words lorem ipsum dolor begin a text that printers have long used."]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(bad + good)], "doc_id long, text string, source string")
+    got = {r.key for r in residue.Residue(d).found().collect()}
+    assert [t for i, t in enumerate(bad + good) if (i in got) != (i < len(bad))] == []
+
+
+def test_recurring_messages_of_unlisted_wording(spark):
+    bad = ["Widget server hiccup: upstream error while fetching the tile", "The shop portal won't open for visitors without JavaScript", "dummy lorem headline goes", "Ôi hỏng, bảng tin gặp lỗi rồi bạn ơi"]
+    good = ["We saw a 502 error again last night, and restarting the router solved it.", "After a week she explained why scripts must be allowed here", "Lời chúc của nhóm gửi đến bạn"]
+    rows = [(100 * k + i, t, f"s{i % 10}") for k, t in enumerate(bad + good) for i in range(30)]
+    d = spark.createDataFrame([*rows, (9000, "The shop portal won't open when it rains", "s1")], "doc_id long, text string, source string")
+    assert {x.key // 100 for x in residue.Residue(d).found().collect()} == set(range(len(bad)))
