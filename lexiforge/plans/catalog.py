@@ -12,7 +12,7 @@ from ..functions.corrupt import by_rules, corrupted
 from ..functions.syllable import canonical_syllable, telex, telex_keys, vni_keys
 from ..functions.typist import typed_with_slip
 from ..operators import evaluate, journal, learned, lexicon, mining, ngrams, rank, sampling, similar, tokens
-from ..session import cut, running
+from ..session import cut, running, spread
 from ..sources import readers
 from ..streaming import engine, windows
 from . import sql
@@ -700,12 +700,40 @@ def event_windows(s, d):
 
 @query()
 def replayed_typing(s, d):
-    """ST1-ST9: every case typed key by key, each case a typist, corrected by the words of the training split."""
-    c = _cases(s, d).select("case_id", "typed", telex_keys("typed").alias("keys")).where("keys rlike '^[a-z]+$'")
-    e = c.select(F.concat(F.lit("c"), "case_id").alias("user"), F.posexplode(F.split(F.concat("keys", F.lit(" ")), "")).alias("seq", "ch")).where("ch != ''")
-    e = e.select("user", F.col("seq").cast("long").alias("seq"), F.col("seq").cast("double").alias("ts"), F.when(F.col("ch") == " ", "space").otherwise("char").alias("kind"), "ch")
-    fixes = {"teh": "the", "khogn": "không", "nhugn": "nhưng", "cuar": "của"}
-    return engine.replay(e, engine.TableCorrector(fixes)).where("row in ('decision', 'action')").select("user", "seq", "row", "kind", "keys", "fix", "backspaces", "text")
+    """ST1-ST9: the history and the typed word of every case key by key, each case a typist, corrected by the
+    words of the training split; a fix of the typed word that is not its gold is taken back at once.
+    The table of fixes grows with the cases, so it is joined to the words by their keys."""
+    return _replayed(_cases(s, d))
+
+
+def _replayed(c):
+    """The replay of cases. Late fixes need words after the mistake; the cases have none, so their table is empty."""
+    from pyspark.sql import Window as W
+
+    blank = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+    c = c.withColumns({x: F.regexp_replace(x, blank, "") for x in ("typed", "gold")})
+    best = c.where("source like '%train'").groupBy("typed", "gold").agg(F.count("*").alias("n")).groupBy(telex_keys("typed").alias("keys"), "gold").agg(F.sum("n").alias("n"))
+    best = best.groupBy("keys").agg(F.min_by("gold", F.struct((-F.col("n")).alias("n"), "gold")).alias("fix"))
+    line = F.concat(F.concat_ws(" ", F.lower(text.nfc(F.coalesce("history", F.lit("")))), "typed"), F.lit(" "))
+    units = F.regexp_extract_all(line, F.lit(r"[^\s\p{Z}\p{P}]*(?:[\s\p{Z}]+|\p{P})"), F.lit(0))
+    w = c.select(F.concat(F.lit("c"), "case_id").alias("user"), "typed", "gold", F.size(units).alias("of"), F.posexplode(units).alias("at", "unit"))
+    w = w.withColumn("word", F.regexp_replace("unit", r"[\s\p{Z}\p{P}]+$", "")).withColumn("mark", F.regexp_replace(F.expr("substring(unit, char_length(word) + 1)"), r"[\s\p{Z}]+", " "))
+    w = w.where("word != '' or mark != ' '").withColumn("keys", telex_keys("word")).join(best, "keys", "left")
+    undone = (F.col("at") == F.col("of") - 1) & (F.col("word") == F.col("typed")) & (F.col("fix") != F.col("gold")) & (F.col("fix") != telex("keys")["text"])
+    w = spread(w.withColumn("undone", F.coalesce(undone, F.lit(False))), "user")
+    keys = F.filter(F.split("keys", ""), lambda x: x != "")
+    key = lambda kind, ch, fix: F.struct(kind.alias("kind"), ch.alias("ch"), fix.alias("fix"))
+    none = F.lit(None).cast("string")
+    presses = F.concat(
+        F.transform(keys, lambda x: key(F.lit("char"), x, none)),
+        F.array(key(F.when(F.col("mark") == " ", "space").otherwise("punct"), F.col("mark"), F.col("fix"))),
+        F.when(F.col("undone"), F.array(key(F.lit("undo"), F.lit(""), none))).otherwise(F.array().cast("array<struct<kind:string,ch:string,fix:string>>")),
+    )
+    w = w.select("user", "at", presses.alias("presses"))
+    before = W.partitionBy("user").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    e = w.withColumn("before", F.coalesce(F.sum(F.size("presses")).over(before), F.lit(0))).sortWithinPartitions("user", "at")
+    e = e.select("user", "before", F.posexplode("presses").alias("k", "press")).selectExpr("user", "before + k as seq", "cast(before + k as double) as ts", "press.*")
+    return engine.replay(e, ordered=True)
 
 
 # Arithmetic.

@@ -7,19 +7,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.syllable import compose, to_keys
+from ..functions.syllable import compose as _compose
+from ..functions.syllable import to_keys
 
 IGNORE_AFTER, RIGHT_WORDS, WAIT_SECONDS, WAITING, HISTORY = 2, 3, 60, 8, 4
 EVENTS = "user string, seq long, ts double, kind string, ch string"
 OUTPUT = "user string, seq long, row string, kind string, keys string, fix string, backspaces int, text string, left string, right string"
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
+#: Few beginnings of words make up most of the keys.
+compose = lru_cache(1 << 16)(_compose)
+
 
 class TableCorrector:
     """Corrections by table: keys to a fix, and (keys, next word) to a later fix."""
@@ -34,6 +39,17 @@ class TableCorrector:
         return self.later.get(f"{keys.lower()} {after.lower()}")
 
 
+class GivenCorrector(TableCorrector):
+    """Corrections that come with the events: of a table of any size, joined to them."""
+
+    def __init__(self) -> None:
+        super().__init__({})
+        self.given: str | None = None
+
+    def correct(self, keys: str, history: list[str]) -> str | None:
+        return self.given
+
+
 def _distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -226,27 +242,34 @@ class Typing:
             s["unseen"] = True
 
 
-def replay(events: DataFrame, corrector: TableCorrector, vietnamese: bool = True) -> DataFrame:
+def replay(events: DataFrame, corrector: TableCorrector | None = None, vietnamese: bool = True, ordered: bool = False) -> DataFrame:
     """A table of events (EVENTS) to rows (OUTPUT). Users are spread by hash and each user's events pass
-    in order through one state; no user's events are held in memory together."""
-    names = [c.split()[0] for c in EVENTS.split(", ")]
+    in order through one state; no user's events are held in memory together. Without a corrector,
+    each boundary's fix is in the column `fix`. ordered: each user's events are in one partition, in order."""
+    given = corrector is None
+    names = [c.split()[0] for c in EVENTS.split(", ")] + ["fix"] * given
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Typing | None = None
+        c = GivenCorrector() if given else corrector
         for b in batches:
             rows: list[dict] = []
-            for user, seq, ts, kind, ch in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)):
+            for user, seq, ts, kind, ch, *fix in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)):
                 if t is None or t.user != user:
                     if t:
                         rows += _end(t)
-                    t = Typing(corrector, user, vietnamese=vietnamese)
+                    t = Typing(c, user, vietnamese=vietnamese)
+                if given:
+                    c.given = fix[0]
                 rows += t.press(seq, ts, kind, ch or "")
             yield _batch(rows)
         if t:
             yield _batch(_end(t))
 
-    d = events.where("user is not null and seq is not null and kind is not null").selectExpr("user", "seq", "coalesce(ts, 0) as ts", "kind", "ch")
-    return d.repartition("user").sortWithinPartitions("user", "ts", "seq").mapInArrow(run, OUTPUT)
+    d = events.where("user is not null and seq is not null and kind is not null").selectExpr("user", "seq", "coalesce(ts, 0) as ts", "kind", "ch", *["fix"] * given)
+    if not ordered:
+        d = d.repartition("user").sortWithinPartitions("user", "ts", "seq")
+    return d.mapInArrow(run, OUTPUT)
 
 
 def _end(t: Typing) -> list[dict]:

@@ -138,3 +138,17 @@ def test_windows_and_current_tables(spark, tmp_path):
     each(d, 0)
     each(d, 1)
     assert seen == [[1], [2]]
+
+
+def test_cases_are_corrected_by_their_training_split(spark):
+    from lexiforge.plans.catalog import _replayed
+
+    rows = [(1, "vsec_train", None, "khogn", "không"), (2, "vsec_train", "", "khogn\u00a0", "không"), (3, "vsec_train", "", "nhà", "nhà"), (4, "viwiki", "khogn  nhà", "khogn", "không"), (5, "viwiki", "a, b", "khogn", "khống"), (6, "viwiki", "", "b2-x", "b2-x")]
+    got = _replayed(spark.createDataFrame(rows, "case_id long, source string, history string, typed string, gold string")).collect()
+    of = lambda user, row: [(r.kind, r.keys, r.fix) for r in sorted(got, key=lambda r: r.seq) if r.user == user and r.row == row]
+    fixed = ("corrected", "khogn", "không")
+    assert of("c4", "decision") == [fixed, ("none", "nhaf", "nhà"), fixed]
+    assert [(r.kind, r.left, r.right) for r in sorted(got, key=lambda r: r.seq) if r.user == "c4" and r.row == "journal"] == [("FIX", "", "nhà không"), ("FIX", "không nhà", "")]
+    assert [k for k, *_ in of("c5", "journal")] == ["FIX", "UNDO"] and of("c5", "decision")[-1] == fixed
+    assert [k for _, k, _ in of("c6", "decision")] == ["b2", "x"] and {r.user for r in got} == {f"c{i}" for i in range(1, 7)}
+    assert [(r.backspaces, r.text) for r in got if r.user == "c1" and r.row == "action"] == [(3, "ông ")]
