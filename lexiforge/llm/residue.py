@@ -4,9 +4,9 @@ Texts are cut into segments (lines and sentences). A segment is normalised: cons
 case, no accents, white space collapsed, and numbers, addresses, dates and codes masked. Equal
 normalised segments are grouped by an exact hash over all documents and sources. Each distinct
 segment is classified once: by phrase rules (error message, demand for scripts, filler, page
-furniture such as menus and footers), or, if no rule fits but it recurs in many documents of many
-sources, by looser cues: words of demands or errors anywhere in a short segment that tells nothing,
-half its words filler, and else furniture. A text is residue if a slot meant to be filled was left open in it, outside
+furniture such as menus and footers), or, if no rule fits but a share of all texts and sources holds
+it, by looser cues: words of demands or errors anywhere in a short segment that tells nothing, half
+its words filler, or furniture if it has few words and is no sentence. A text is residue if a slot meant to be filled was left open in it, outside
 quotation and code marks, or if it holds error messages, demands or filler and nothing else but
 furniture. Null and empty texts are not residue.
 """
@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from ..session import write_table
 from .unify import has_beyond_ascii, unified
 
-#: A segment of no known kind is furniture if so many documents of so many sources hold it.
-FURNITURE_DOCS, FURNITURE_SOURCES = 20, 8
+#: A segment of no known kind recurs if such a share of the texts and such a share of the sources hold it,
+#: as furniture and, with the cues of a message, as one. Shares, so that the size of the input has no say.
+FURNITURE_TEXTS, FURNITURE_SOURCES = 1 / 500, 1 / 3
+MESSAGE_TEXTS, MESSAGE_SOURCES = 1 / 5000, 1 / 8
+#: Whatever the shares, fewer texts or sources are no recurrence.
+LEAST = 3
 #: A longer segment is no message, whatever it begins with.
 MESSAGE = 400
 
@@ -109,6 +113,10 @@ _TOLD = r"i|he|she|they|who|why|which|said|says|say|asked?|asks|told|tells?|expl
 #: A segment of more words tells something.
 MESSAGE_WORDS = 20
 
+#: Page furniture has at most so many words, and none of these: what a sentence is made with (accents dropped).
+FURNITURE_WORDS = 6
+_SENTENCE = r"i|he|she|they|we|it|you|is|are|was|were|am|be|been|has|have|had|do|does|did|will|would|shall|should|may|might|must|said|says|asked|that|which|who|because|toi|minh|chung toi|chung ta|la|da|dang|se|roi|duoc|bi|khong|chua|nhe|nhi|thi|ma|vi|nen|neu"
+
 
 def bare(col: Column) -> Column:
     """Lower case without Vietnamese accents."""
@@ -176,6 +184,11 @@ def loose_kind_of(segment: Column) -> Column:
     return F.when(message & holds(_SCRIPT_NAME) & holds(_SCRIPT_CUE), "script").when(message & holds(_ERROR_CUE), "error").when((n >= 3) & (filler >= 0.5 * n) & certain, "filler")
 
 
+def furniture_like(segment: Column) -> Column:
+    """Whether a normalised segment has the form of page furniture: few words, no sentence."""
+    return (F.size(F.split(segment, " ")) <= FURNITURE_WORDS) & ~segment.rlike(rf"(?<!\w)({_SENTENCE})(?!\w)")
+
+
 class Residue:
     """texts: (key, source, slot, segments), written once; templates: see there; found: see there."""
 
@@ -191,8 +204,11 @@ class Residue:
         seg = self.texts.select("source", F.explode("segments").alias("segment"))
         g = seg.groupBy(F.xxhash64("segment").alias("hash"), "source").agg(F.count("*").alias("docs"), F.first("segment").alias("segment"))
         g = g.groupBy("hash").agg(F.sum("docs").alias("docs"), F.count("*").alias("sources"), F.first("segment").alias("segment"))
-        recurs = (F.col("docs") >= FURNITURE_DOCS) & (F.col("sources") >= FURNITURE_SOURCES)
-        return g.withColumn("kind", F.coalesce(kind_of(F.col("segment")), F.when(recurs, F.coalesce(loose_kind_of(F.col("segment")), F.lit("furniture")))))
+        segment = F.col("segment")
+        of = self.texts.groupBy("source").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("texts"), F.count("*").alias("sources")).first()
+        recurs = lambda texts, sources: (F.col("docs") >= max(LEAST, texts * of.texts)) & (F.col("sources") >= max(LEAST, sources * of.sources))
+        message = F.when(recurs(MESSAGE_TEXTS, MESSAGE_SOURCES), loose_kind_of(segment))
+        return g.withColumn("kind", F.coalesce(kind_of(segment), message, F.when(recurs(FURNITURE_TEXTS, FURNITURE_SOURCES) & furniture_like(segment), "furniture")))
 
     def found(self) -> DataFrame:
         """(key, slot, kinds): the texts to leave out, with the kinds of their segments."""

@@ -72,3 +72,14 @@ def test_recurring_messages_of_unlisted_wording(spark):
     rows = [(100 * k + i, t, f"s{i % 10}") for k, t in enumerate(bad + good) for i in range(30)]
     d = spark.createDataFrame([*rows, (9000, "The shop portal won't open when it rains", "s1")], "doc_id long, text string, source string")
     assert {x.key // 100 for x in residue.Residue(d).found().collect()} == set(range(len(bad)))
+
+
+def test_the_kind_of_a_segment_does_not_depend_on_the_size(spark):
+    talk, foot = "Tỉ lệ dùng tăng 5% so với tuần trước [5], phần còn lại xem bảng [2]", "Gửi từ điện thoại"
+    for size in (400, 4000):
+        texts = [talk if i % 10 == 0 else foot if i % 10 == 1 else "Bản lề dài ngắn" if i % (size // 30) == 2 else f"Chuyện {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} kể lại" for i in range(size)]
+        d = spark.createDataFrame([(i, f"{t}\nĐoạn {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x", f"s{i // 10 % 12}") for i, t in enumerate(texts)] + [(90_000, talk + "\nAccess denied", "s1"), (90_001, foot + "\nAccess denied", "s1")], "doc_id long, text string, source string")
+        r = residue.Residue(d)
+        kinds = {x.segment: x.kind for x in r.templates().collect()}
+        assert kinds["gui tu dien thoai"] == "furniture" and kinds["ti le dung tang 0 so voi tuan truoc 0 phan con lai xem bang 0"] is None, size
+        assert {x.key for x in r.found().collect()} == {90_001}, size
