@@ -32,14 +32,16 @@ def get_session(app: str = "lexiforge", cores: str = "*") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where a session has none
-    (tests on one machine), a temporary folder of this machine is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where a local session has none
+    (tests on one machine), a temporary folder of this machine is set; on a cluster that raises."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         have = sc._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lexiforge-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -88,6 +90,16 @@ def hash_order(*cols: Column | str, seed: int = 7) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
+def md5_order(key: Column | str, seed: int = 7) -> Column:
+    """As hash_order, as 32 hexadecimal digits that SQL engines make alike."""
+    return F.md5(F.concat(F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string")))
+
+
+def leading(digits: Column, n: int) -> Column:
+    """The first n hexadecimal digits of a text as a number."""
+    return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
+
+
 def running(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, out: str, keep_bucket: bool = False) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group up to and including this row.
 
