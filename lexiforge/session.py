@@ -100,6 +100,12 @@ def leading(digits: Column, n: int) -> Column:
     return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
 
 
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """df by ranges of `order`, written, with the range's number in `_range`: a bucket for `running`. The
+    ranges are drawn from a sample, so they must not be drawn again by another reader."""
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def running(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, out: str, keep_bucket: bool = False) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group up to and including this row.
 
