@@ -25,32 +25,38 @@ def weighted_median(ranks: list[Column], weights: list[float]) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["at"])
 
 
-def _how_many(array: Column, test: Callable[[Column, Column], Column], other: Column) -> Column:
-    return F.size(F.filter(array, lambda x: test(x, other)))
-
-
 def fuse_lists(df: DataFrame, lists: list[str], weights: list[float] | None = None, out: str = "ranking") -> DataFrame:
     """Adds `out`: the items of the row's score arrays in fused order, best first, as structs
     (pos, median, mean, alone, total): 0-based place, weighted median and mean rank, on how many
     scores the item alone is highest, and the plain sum of its scores.
 
-    A rank is 1 + the number of higher scores, so equal scores share a rank. `out` is null where an
-    array is null, of another length than the first, or holds a null or NaN; empty arrays give an
-    empty ranking. The work is quadratic in a list's length."""
+    A rank is 1 + the number of higher scores, so equal scores share a rank: an item's rank is the
+    first place of its score in the sorted array. `out` is null where an array is null, of another
+    length than the first, or holds a null or NaN; empty arrays give an empty ranking."""
     weights = weights or [1.0] * len(lists)
-    arrays = [F.col(c) for c in lists]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.size(c) == F.size(lists[0])) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)) for c in lists])
-
-    def item(i: Column) -> Column:
-        own = [a[i] for a in arrays]
-        ranks = [_how_many(a, lambda x, y: x > y, o) + 1 for a, o in zip(arrays, own)]
-        alone = [((r == 1) & (_how_many(a, lambda x, y: x == y, o) == 1)).cast("int") for a, o, r in zip(arrays, own, ranks)]
+    # Generators keep the optimizer from repeating the sorted arrays, or the ranking, in every place that uses them.
+    ordered = F.struct(*[F.sort_array(c, asc=False).alias(f"o{k}") for k, c in enumerate(lists)])
+    d = df.withColumn("_sorted", F.explode(F.array(F.when(whole, ordered))))
+
+    def placed(i: Column) -> Column:
+        fields = [i.cast("int").alias("pos")]
+        for k, c in enumerate(lists):
+            fields += [F.col(c)[i].alias(f"s{k}"), F.array_position(F.col("_sorted")[f"o{k}"], F.col(c)[i]).alias(f"r{k}")]
+        return F.struct(*fields)
+
+    def item(x: Column) -> Column:
+        ranks = [x[f"r{k}"] for k in range(len(lists))]
+        second = [F.try_element_at(F.col("_sorted")[f"o{k}"], F.lit(2)) for k in range(len(lists))]
+        alone = [((r == 1) & F.coalesce(o < x[f"s{k}"], F.lit(True))).cast("int") for k, (r, o) in enumerate(zip(ranks, second))]
         mean = reduce(lambda a, b: a + b, [r * F.lit(float(w)) for r, w in zip(ranks, weights)]) / sum(weights)
-        return F.struct(weighted_median(ranks, weights).alias("median"), mean.alias("mean"), i.cast("int").alias("pos"), reduce(lambda a, b: a + b, alone).alias("alone"), reduce(lambda a, b: a + b, own).alias("total"))
+        total = reduce(lambda a, b: a + b, [x[f"s{k}"] for k in range(len(lists))])
+        return F.struct(weighted_median(ranks, weights).alias("median"), mean.alias("mean"), x["pos"].alias("pos"), reduce(lambda a, b: a + b, alone).alias("alone"), total.alias("total"))
 
     n = F.size(lists[0])
-    ranking = F.when(n == 0, F.array().cast("array<struct<median:double,mean:double,pos:int,alone:int,total:double>>")).otherwise(F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), item)))
-    return df.withColumn(out, F.when(whole, ranking))
+    places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    ranking = F.array_sort(F.transform(F.transform(places, placed), item))
+    return d.withColumn(out, F.explode(F.array(F.when(F.col("_sorted").isNotNull(), ranking)))).drop("_sorted")
 
 
 def rank_of(df: DataFrame, group: list[str], score: str, out: str) -> DataFrame:
@@ -88,16 +94,31 @@ def fuse_rows(df: DataFrame, group: list[str], item: str, scores: list[str], wei
     return running(d, group, order, F.col("_range"), F.lit(1), "place").drop("_range")
 
 
+def latest(value: str, at: str) -> Column:
+    """The value delivered last; of those of one time, or of none, the same in every run."""
+    return F.max_by(value, F.struct(F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.xxhash64(value).alias("tie")))
+
+
+def _joined(samples: DataFrame, teachers: DataFrame) -> DataFrame:
+    """(id, model, s, r, ll_left, ll_full): the latest delivery of each sample with that of each teacher."""
+    keep = samples.where("id is not null and candidates is not null")
+    one = keep.groupBy("id").agg(latest("candidates", "exported_at").alias("c")).select("id", F.col("c.s").alias("s"), F.col("c.r").alias("r"))
+    t = teachers.where("id is not null and model is not null").select("id", "model", "scored_at", F.struct("ll_left", "ll_full").alias("t"))
+    t = t.groupBy("id", "model").agg(latest("t", "scored_at").alias("t")).select("id", "model", "t.ll_left", "t.ll_full")
+    return one.join(t, "id")
+
+
 def fused_samples(samples: DataFrame, teachers: DataFrame) -> DataFrame:
     """(id, model, ranking): the candidates of each sample that a teacher has scored, ranked over
     s, r, ll_left and ll_full. Repeats count once (the latest); incomplete ones have no row."""
-    keep = samples.where("id is not null and candidates is not null")
-    one = keep.groupBy("id").agg(F.max_by("candidates", "exported_at").alias("_latest"), F.first("candidates").alias("_any"))
-    one = one.select("id", F.coalesce("_latest", "_any").alias("c")).select("id", F.col("c.s").alias("s"), F.col("c.r").alias("r"))
-    t = teachers.where("id is not null and model is not null").select("id", "model", "scored_at", F.struct("ll_left", "ll_full").alias("t"))
-    t = t.groupBy("id", "model").agg(F.max_by("t", "scored_at").alias("_latest"), F.first("t").alias("_any"))
-    t = t.select("id", "model", F.coalesce("_latest", "_any").alias("t")).select("id", "model", "t.ll_left", "t.ll_full")
-    return fuse_lists(one.join(t, "id"), ["s", "r", "ll_left", "ll_full"]).where("ranking is not null").select("id", "model", "ranking")
+    return fuse_lists(_joined(samples, teachers), ["s", "r", "ll_left", "ll_full"]).where("ranking is not null").select("id", "model", "ranking")
+
+
+def scored_candidates(samples: DataFrame, teachers: DataFrame) -> DataFrame:
+    """(model, item, s, r, ll_left, ll_full): the candidates of complete samples as rows, item = id#place."""
+    names = ["s", "r", "ll_left", "ll_full"]
+    d = _joined(samples, teachers).select("id", "model", F.posexplode(F.arrays_zip(*names)).alias("pos", "x"))
+    return d.select("model", F.concat_ws("#", "id", "pos").alias("item"), *[F.col(f"x.{c}").alias(c) for c in names])
 
 
 def outvoted(fused: DataFrame, least: int = 3) -> DataFrame:
