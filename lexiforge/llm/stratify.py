@@ -1,10 +1,10 @@
 """A sample that matches target proportions of categories (problem 4).
 
-Divisor method: within its category each record has a random rank; its priority is
-(rank - 0.5) / target share. Records within a category's minimum come first, then the globally
-smallest priorities until the sample is full, so that seats an exhausted category can't fill go to
-the others by themselves. As priorities rise with the rank, the sample is each category's first
-records up to a number of seats, found from the categories' sizes by bisection on the priority.
+Divisor method. Within its category each record has a random row number, its rank; its priority is
+(rank - 0.5) / target share. Records within a category's minimum come first, then all by rising
+priority; the first `size` of that order are the sample. So seats that an exhausted category can't
+fill go to the others by themselves. Neither the ranks of a category nor the order of all records
+meets in one task: both are counted in ranges, and the ranges' sums are carried over.
 """
 
 from __future__ import annotations
@@ -14,43 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, hash_order, running, small
+from ..session import cut, leading, md5_order, ranged, running, small
 
-#: Random ranks are counted in so many hash ranges per category, so that none meets in one task.
-RANGES = 1024
-
-
-def seats(cells: list[tuple[int, float, int]], size: int) -> list[int]:
-    """Seats of categories given as (available, share, minimum); ties go to the earlier category."""
-    have = [n for n, _, _ in cells]
-    floor = [min(n, max(0, least)) for n, _, least in cells]
-    if sum(floor) == size:
-        return floor
-    if sum(floor) > size:  # the minimums don't fit: the smallest priorities among them, then those without a share
-        part = seats([(n, s, 0) for n, (_, s, _) in zip(floor, cells)], size)
-        for i, n in enumerate(floor):
-            part[i] += min(n - part[i], size - sum(part))
-        return part
-    share = [max(0.0, s or 0.0) for _, s, _ in cells]
-
-    def upto(x: float) -> list[int]:
-        """Seats with a priority of at most x: ranks up to x * share + 0.5."""
-        return [max(f, min(n, math.floor(x * s + 0.5))) if s > 0 else f for n, f, s in zip(have, floor, share)]
-
-    low, high = 0.0, 1.0
-    while sum(upto(high)) < size and high < 1e18:
-        high *= 2
-    if sum(upto(high)) <= size:
-        return upto(high)
-    for _ in range(200):
-        mid = (low + high) / 2
-        if mid in (low, high):
-            break
-        low, high = (mid, high) if sum(upto(mid)) <= size else (low, mid)
-    out, above = upto(low), upto(high)
-    for i in range(len(out)):  # ranks whose priorities are equal at the border
-        out[i] += min(above[i] - out[i], size - sum(out))
-    return out
+#: Random ranks are counted in 16 ** RANGE_DIGITS ranges per category, so that none meets in one task.
+RANGE_DIGITS = 3
 
 
 def spelled(col: str) -> Column:
@@ -59,40 +26,38 @@ def spelled(col: str) -> Column:
 
 
 class Stratified:
-    """records: one row per (key, category columns) that a target names; report, sample: see there."""
+    """ranked: every record that a target names, with its rank, priority and place in the order of all;
+    size: that of the sample; report, sample: see there."""
 
     def __init__(self, df: DataFrame, key: str, cols: list[str], targets: DataFrame, size: int | None = None, fraction: float = 0.25, share: str = "share", least: str = "min_rows", seed: int = 7) -> None:
         """Rows with a null key or a category that no target names don't count; repeated keys count
-        once per category. Without `size`, `fraction` of all keys, rounded down. The targets, one
-        row per category, may be at most BROADCAST_ROWS."""
+        once per category. Without `size`, `fraction` of all keys, rounded down. Targets with a null
+        category don't count; of several whose spellings are one, shares and minimums are added.
+        A category without a share gives its minimum only. Equal priorities go by category and rank."""
         names = [f"_c{i}" for i in range(len(cols))]
-        t = targets.select(*[spelled(c).alias(n) for c, n in zip(cols, names)], *[F.col(c).cast("string").alias(f"{n}_name") for c, n in zip(cols, names)], F.col(share).cast("double").alias("share"), F.coalesce(F.col(least).cast("long"), F.lit(0)).alias("least")).dropna(subset=names).dropDuplicates(names)
-        rows = t.orderBy(*names).limit(BROADCAST_ROWS + 1).collect()
-        if len(rows) > BROADCAST_ROWS:
-            raise ValueError(f"more than {BROADCAST_ROWS} categories")
-        spark = df.sparkSession
-        keys = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} string" for n in names))
+        t = targets.select(*[spelled(c).alias(n) for c, n in zip(cols, names)], *[F.col(c).cast("string").alias(f"{n}_name") for c, n in zip(cols, names)], F.coalesce(F.col(share).cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col(least).cast("long"), F.lit(0)).alias("least")).dropna(subset=names)
+        self.targets = cut(t.groupBy(*names).agg(*[F.min(f"{n}_name").alias(f"{n}_name") for n in names], F.sum("share").alias("share"), F.sum("least").alias("least")))
         d = df.select(F.col(key).alias("_key"), *[spelled(c).alias(n) for c, n in zip(cols, names)]).where("_key is not null")
-        self.records = d.join(F.broadcast(keys), names, "left_semi").dropDuplicates(["_key", *names])
-        counts = {tuple(r[n] for n in names): r["count"] for r in self.records.groupBy(*names).count().collect()}
-        self.have = [counts.get(tuple(r[n] for n in names), 0) for r in rows]
-        self.size = math.floor(fraction * sum(self.have)) if size is None else size
-        given = seats([(n, r["share"], r["least"]) for n, r in zip(self.have, rows)], self.size)
-        schema = ", ".join([f"{n} string" for n in names] + [f"{n}_name string" for n in names] + ["share double", "least long", "available long", "seats long"])
-        table = [(*[r[n] for n in names], *[r[f"{n}_name"] for n in names], r["share"], r["least"], n, g) for r, n, g in zip(rows, self.have, given)]
-        self.cells = spark.createDataFrame(table, schema)
-        self.key, self.cols, self.names, self.seed = key, cols, names, seed
+        d = d.join(small(self.targets.select(*names, "share", "least")), names).dropDuplicates(["_key", *names])
+        h = md5_order("_key", seed)
+        d = running(d.withColumn("_h", h), names, [F.col("_h"), F.col("_key")], leading(F.col("_h"), RANGE_DIGITS), F.lit(1), "_rank")
+        d = d.withColumn("_beyond", F.col("_rank") > F.col("least")).withColumn("_priority", F.when(F.col("share") > 0, (F.col("_rank") - F.lit(0.5)) / F.col("share")).otherwise(F.lit(math.inf)))
+        order = [F.col("_beyond"), F.col("_priority"), *[F.col(n) for n in names], F.col("_rank")]
+        d = ranged(d.select("_key", *names, "_rank", "_beyond", "_priority"), *order)
+        self.size = math.floor(fraction * d.count()) if size is None else size
+        self.ranked = running(d, [], order, F.col("_range"), F.lit(1), "_place").withColumn("_taken", (F.col("_place") <= self.size) & ~(F.col("_beyond") & (F.col("_priority") == math.inf)))
+        self.key, self.cols, self.names = key, cols, names
 
     def report(self) -> DataFrame:
         """Per category: share asked, available records, seats given, share reached, and `short`
-        where fewer are available than the larger of share * size and the minimum."""
-        wanted = F.greatest(F.coalesce(F.col("share"), F.lit(0.0)) * self.size, F.col("least"))
-        return self.cells.select(*[F.col(f"{n}_name").alias(c) for c, n in zip(self.cols, self.names)], "share", F.col("least").alias("min_rows"), "available", "seats", (F.col("seats") / F.lit(max(1, self.size))).alias("reached"), (F.col("available") < wanted).alias("short"))
+        where the sample has less than the larger of share * size and the minimum, and no more was there."""
+        drawn = self.ranked.groupBy(*self.names).agg(F.count("*").alias("available"), F.count_if("_taken").alias("seats"))
+        d = self.targets.join(drawn, self.names, "left").fillna(0, ["available", "seats"])
+        wanted = F.greatest(F.col("share") * self.size, F.col("least"))
+        short = (F.col("seats") < wanted) & (F.col("available") < wanted)
+        return d.select(*[F.col(f"{n}_name").alias(c) for c, n in zip(self.cols, self.names)], "share", F.col("least").alias("min_rows"), "available", "seats", (F.col("seats") / F.lit(max(1, self.size))).alias("reached"), short.alias("short"))
 
     def sample(self) -> DataFrame:
         """(key, category columns): the sample, without repeats, the same in every run."""
-        h = hash_order("_key", seed=self.seed)
-        d = self.records.withColumn("_h", h)
-        d = running(d, self.names, [F.col("_h"), F.col("_key")], F.shiftright("_h", 64 - int(math.log2(RANGES))), F.lit(1), "_rank")
-        d = d.join(small(self.cells.select(*self.names, *[f"{n}_name" for n in self.names], "seats")), self.names).where("_rank <= seats")
+        d = self.ranked.where("_taken").join(small(self.targets.select(*self.names, *[f"{n}_name" for n in self.names])), self.names)
         return d.select(F.col("_key").alias(self.key), *[F.col(f"{n}_name").alias(c) for c, n in zip(self.cols, self.names)])

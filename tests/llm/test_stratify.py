@@ -1,31 +1,36 @@
-import heapq
+import hashlib
 import random
 
 import pytest
 
-from lexiforge.llm.stratify import Stratified, seats
+from lexiforge.llm.stratify import Stratified
 
 
 def naive(cells, size):
-    out = [min(n, max(0, least)) for n, _, least in cells]
-    if sum(out) > size:
-        return None
-    heap = [((k + 0.5) / s, i, k) for i, (n, s, _) in enumerate(cells) if s > 0 for k in range(out[i], n)]
-    for _, i, _ in heapq.nsmallest(size - sum(out), heap):
-        out[i] += 1
-    return out
+    """Records as (beyond the minimum, priority, cell, rank), the smallest `size` of them."""
+    rows = []
+    for name, (n, share, least) in cells.items():
+        for rank in range(1, n + 1):
+            if rank <= least or share > 0:
+                rows.append((rank > least, (rank - 0.5) / share if share > 0 else float("inf"), name, rank))
+    taken = sorted(rows)[:size]
+    return {name: sum(r[2] == name for r in taken) for name in cells}
 
 
-def test_seats_equal_the_smallest_priorities():
+def test_seats_equal_the_smallest_priorities(spark):
     random.seed(1)
-    for _ in range(300):
-        cells = [(random.randint(0, 40), random.choice([0.0, 0.1, 0.25, 0.5]), random.randint(0, 5)) for _ in range(random.randint(1, 6))]
+    for _ in range(4):
+        cells = {f"k{i}": (random.randint(0, 40), random.choice([0.0, 0.1, 0.25, 0.5]), random.randint(0, 5)) for i in range(6)}
         size = random.randint(0, 60)
-        want = naive(cells, size)
-        got = seats(cells, size)
-        assert sum(got) <= size
-        if want is not None:
-            assert sum(got) == sum(want) and all(abs(a - b) <= 1 for a, b in zip(got, want))
+        d = spark.createDataFrame([(f"{c}-{i}", c) for c, (n, *_) in cells.items() for i in range(n)], "id string, kind string")
+        t = spark.createDataFrame([(c, s, m) for c, (_, s, m) in cells.items()], "kind string, share double, min_rows long")
+        s = Stratified(d, "id", ["kind"], t, size=size)
+        assert {r.kind: r.seats for r in s.report().collect()} == naive(cells, size)
+        # Within a category the first by hash are taken.
+        rows = {r.id for r in s.sample().collect()}
+        for c, (n, *_) in cells.items():
+            order = sorted((hashlib.md5(f"7{c}-{i}".encode()).hexdigest(), f"{c}-{i}") for i in range(n))
+            assert {k for _, k in order[: naive(cells, size)[c]]} == {k for k in rows if k.startswith(c + "-")}
 
 
 @pytest.fixture
@@ -49,8 +54,14 @@ def test_sample_and_report(data):
     assert sorted(rows) == sorted(again)
 
 
+def test_targets_of_one_spelling_add_up(spark, data):
+    t = spark.createDataFrame([("vi", "one-slip", 0.25, 2), ("VI ", "one_slip", 0.25, 1), ("vi", "clean", None, None)], "set string, class string, share double, min_rows long")
+    r = {(x["set"], x["class"]): x for x in Stratified(data[0], "id", ["set", "class"], t, size=20).report().collect()}
+    assert {k: (x.share, x.min_rows, x.seats, x.short) for k, x in r.items()} == {("VI ", "one-slip"): (0.5, 3, 20, False), ("vi", "clean"): (0.0, 0, 0, False)}
+
+
 def test_empty(data):
     s = Stratified(data[0].limit(0), "id", ["set", "class"], data[1])
-    assert s.size == 0 and s.sample().count() == 0 and all(x.short for x in s.report().collect())
+    assert s.size == 0 and s.sample().count() == 0 and {(x["set"], x["class"]): x.short for x in s.report().collect()} == {("vi", "one-slip"): True, ("en", "one-slip"): True, ("vi", "clean"): True, ("en", "clean"): True}
     none = Stratified(data[0], "id", ["set", "class"], data[1].limit(0))
     assert none.sample().count() == 0 and none.report().count() == 0
