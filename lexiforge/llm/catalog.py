@@ -26,7 +26,8 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 def p1_ngrams(s: SparkSession, d: str) -> DataFrame:
     """Every run of one to three words of the documents, with occurrences and documents."""
-    docs = _t(s, d, "documents").select("doc_id", overlap.split_words(overlap.consistent(F.col("text"))).alias("words"))
+    letters = F.regexp_extract_all(F.lower(unify.composed("text")), F.lit(r"\p{L}+"), F.lit(0))
+    docs = _t(s, d, "documents").select("doc_id", letters.alias("words"))
     return terms.ngram_frequencies(docs, "doc_id", "words", max_n=3).select(F.concat_ws(" ", "gram").alias("gram"), "n", "rows", "records")
 
 
@@ -65,10 +66,9 @@ def p3_ranking(s: SparkSession, d: str) -> DataFrame:
 
 def p3_overall(s: SparkSession, d: str) -> DataFrame:
     """All candidates of a model in one ranking over its four scores: groups of very many rows."""
-    e = _t(s, d, "export_samples").where("id is not null").dropDuplicates(["id"]).select("id", F.posexplode("candidates").alias("pos", "c"))
-    t = _t(s, d, "teacher_scores").where("id is not null").dropDuplicates(["id", "model"]).select("id", "model", F.posexplode(F.arrays_zip("ll_left", "ll_full")).alias("pos", "l"))
-    rows = e.join(t, ["id", "pos"]).select("model", F.concat_ws("#", "id", "pos").alias("item"), "c.s", "c.r", "l.ll_left", "l.ll_full")
-    return rankfuse.fuse_rows(rows, ["model"], "item", ["s", "r", "ll_left", "ll_full"])
+    rows = rankfuse.scored_candidates(_t(s, d, "export_samples"), _t(s, d, "teacher_scores"))
+    fused = rankfuse.fuse_rows(rows, ["model"], "item", ["s", "r", "ll_left", "ll_full"])
+    return fused.select("model", "item", "median", F.round("mean", 6).alias("mean"), F.col("place").cast("long").alias("place"))
 
 
 def _stratified(s: SparkSession, d: str) -> stratify.Stratified:
@@ -113,20 +113,37 @@ def p6_near(s: SparkSession, d: str) -> DataFrame:
     return leakage.search_near(leakage.build_index(_t(s, d, "documents")), _t(s, d, "eval_items"))
 
 
-def _mixture(s: SparkSession, d: str) -> mixing.Mixture:
-    return mixing.Mixture(_t(s, d, "documents"), _t(s, d, "mix_targets"))
+def _mixture(s: SparkSession, d: str, tokenizer: str = mixing.TOKENIZER) -> mixing.Mixture:
+    return mixing.Mixture(_t(s, d, "documents"), _t(s, d, "mix_targets"), tokenizer=tokenizer)
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     return _mixture(s, d).report().where("short").select("source")
 
 
+def _shares(m: mixing.Mixture) -> DataFrame:
+    return m.report().select("source", "size", F.round("target", 3).alias("target"), "given", "uses", F.round("share", 6).alias("share"), "short")
+
+
+def _mix(m: mixing.Mixture) -> DataFrame:
+    return m.sample().select(F.col("key").alias("doc_id"), "source", "tokens", "uses")
+
+
 def p7_report(s: SparkSession, d: str) -> DataFrame:
-    return _mixture(s, d).report().select("source", "size", F.round("target", 3).alias("target"), "given", "uses", F.round("share", 6).alias("share"), "short")
+    return _shares(_mixture(s, d))
 
 
 def p7_mix(s: SparkSession, d: str) -> DataFrame:
-    return _mixture(s, d).sample().select(F.col("key").alias("doc_id"), "source", "tokens", "uses")
+    return _mix(_mixture(s, d))
+
+
+def p7_byte_report(s: SparkSession, d: str) -> DataFrame:
+    """p7_report with a byte as a token: the same sampling, in sizes that SQL can state."""
+    return _shares(_mixture(s, d, mixing.BYTES))
+
+
+def p7_byte_mix(s: SparkSession, d: str) -> DataFrame:
+    return _mix(_mixture(s, d, mixing.BYTES))
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
@@ -144,7 +161,7 @@ def p8_kept(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, _words, p1_ngrams, p2_found, p2_forms, p3_found, p3_ranking, p3_overall, p4_found, p4_report, p4_sample, p5_found, p5_report, p6_found, p6_items, p6_near, p7_found, p7_report, p7_mix, p8_found, p8_templates, p8_kept]
+    own = [p1_found, _words, p1_ngrams, p2_found, p2_forms, p3_found, p3_ranking, p3_overall, p4_found, p4_report, p4_sample, p5_found, p5_report, p6_found, p6_items, p6_near, p7_found, p7_report, p7_mix, p7_byte_report, p7_byte_mix, p8_found, p8_templates, p8_kept]
     return {"p1_words" if f is _words else f.__name__: f for f in own}
 
 
@@ -160,28 +177,62 @@ select 'counts' as scope, word, counts.total, rows, records, case when records =
 union all
 select 'lexicon', word, total, rows, records, case when rows = 1 then 'rare' when records >= 7 then 'common' end from lex)
 """
-_P3 = """
+_NGRAMS = """
+with t as (select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '\\p{L}+') as w from documents where text is not null),
+e as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
+g as (select doc_id, n, array_to_string(w[i : i + n - 1], ' ') as gram from e, (select unnest([1, 2, 3]) as n) where i + n - 1 <= len(w))
+select gram, n, count(*) as rows, count(distinct coalesce(doc_id, -1)) as records from g group by gram, n
+"""
+# Complete candidates: (id, model, pos, s, r, l, f) as y.
+_SCORED = """
 with s as (select id, any_value(candidates) as c from export_samples where id is not null and candidates is not null group by id),
-t as (select id, model, any_value(ll_left) as a, any_value(ll_full) as b from teacher_scores where id is not null and model is not null and ll_left is not null and ll_full is not null group by id, model),
-j as (select s.id, model, unnest(range(len(c))) as i, c, a, b from s join t on s.id = t.id where len(a) = len(c) and len(b) = len(c)),
-x as (select id, model, cast(i as int) as pos, c[i + 1].s as s, c[i + 1].r as r, a[i + 1] as l, b[i + 1] as f from j),
-bad as (select distinct id, model from x where s is null or r is null or l is null or f is null or isnan(s) or isnan(r) or isnan(l) or isnan(f)),
-y as (select x.* from x anti join bad using (id, model)),
-m as (select id, model, max(s) as ms, max(r) as mr, max(l) as ml, max(f) as mf, max(s + r + l + f) as mt from y group by id, model),
-k as (select id, model, count(*) filter (s = ms) as ns, count(*) filter (r = mr) as nr, count(*) filter (l = ml) as nl, count(*) filter (f = mf) as nf from y join m using (id, model) group by id, model)
-select id, model, pos from y join m using (id, model) join k using (id, model)
-where cast(s = ms and ns = 1 as int) + cast(r = mr and nr = 1 as int) + cast(l = ml and nl = 1 as int) + cast(f = mf and nf = 1 as int) >= 3 and s + r + l + f < mt
+t as (select id, model, any_value(ll_left) as a, any_value(ll_full) as b from teacher_scores where id is not null and model is not null group by id, model),
+j as (select s.id, model, unnest(range(greatest(len(c), len(a), len(b)))) as i, c, a, b from s join t on s.id = t.id),
+x as (select id, model, cast(i as int) as pos, len(c) = len(a) and len(c) = len(b) as even, c[i + 1].s as s, c[i + 1].r as r, a[i + 1] as l, b[i + 1] as f from j),
+z as (select *, coalesce(s is not null and r is not null and l is not null and f is not null and not isnan(s) and not isnan(r) and not isnan(l) and not isnan(f), false) as ok from x),
+bad as (select distinct id, model from z where not ok or not coalesce(even, false)),
+y as (select z.* from z anti join bad using (id, model))
 """
+
+
+def _ranks(group: str, item: str, rows: str) -> str:
+    of = lambda c: f"rank() over (partition by {group} order by {c} desc)"
+    return f"""k as (select *, {of("s")} as ks, {of("r")} as kr, {of("l")} as kl, {of("f")} as kf from {rows}),
+fused as (select *, cast(list_sort([ks, kr, kl, kf])[2] as double) as median, (ks + kr + kl + kf) / 4 as mean from k),
+placed as (select *, row_number() over (partition by {group} order by median, mean, {item}) as place from fused)
+"""
+
+
+_P3 = _SCORED + ", " + _ranks("id, model", "pos", "y")
+_P3_FOUND = _P3 + """, m as (select id, model, max(s) as ms, max(r) as mr, max(l) as ml, max(f) as mf, max(s + r + l + f) as mt from placed group by id, model),
+n as (select id, model, count(*) filter (s = ms) as ns, count(*) filter (r = mr) as nr, count(*) filter (l = ml) as nl, count(*) filter (f = mf) as nf from placed join m using (id, model) group by id, model)
+select id, model, pos from placed join m using (id, model) join n using (id, model) where place = 1
+and cast(s = ms and ns = 1 as int) + cast(r = mr and nr = 1 as int) + cast(l = ml and nl = 1 as int) + cast(f = mf and nf = 1 as int) >= 3 and s + r + l + f < mt"""
+_OVERALL = _SCORED + ", o as (select *, id || '#' || pos as item from z where ok), " + _ranks("model", "item", "o")
 _P4 = """
 with e as (select distinct id, regexp_replace(lower(trim("set")), '[\\s_]+', '-', 'g') as set_name, regexp_replace(lower(trim(class)), '[\\s_]+', '-', 'g') as class_name from export_samples where id is not null),
-n as (select set_name, class_name, count(*) as available from e where (set_name, class_name) in (select ("set", class) from sample_targets) group by all),
-whole as (select floor(sum(available) / 4) as size from n)
-select t."set" as set_name, t.class as class_name from sample_targets t left join n on n.set_name = t."set" and n.class_name = t.class cross join whole
-where coalesce(available, 0) < greatest(share * size, min_rows)
+t as (select "set" as set_name, class as class_name, share, min_rows from sample_targets),
+r as (select id, e.set_name, e.class_name, share, min_rows, row_number() over (partition by e.set_name, e.class_name order by md5('7' || id), id) as rank from e join t on t.set_name = e.set_name and t.class_name = e.class_name),
+whole as (select cast(floor(count(*) / 4) as bigint) as size from r),
+o as (select *, row_number() over (order by rank > min_rows, (rank - 0.5::double) / share, set_name, class_name, rank) as place from r),
+taken as (select o.*, place <= size as taken, size from o, whole),
+cells as (select t.set_name, t.class_name, any_value(t.share) as share, any_value(t.min_rows) as min_rows, count(id) as available, count(*) filter (taken) as seats, any_value(whole.size) as size from t cross join whole left join taken on taken.set_name = t.set_name and taken.class_name = t.class_name group by t.set_name, t.class_name),
+report as (select *, seats < greatest(share * size, min_rows) and available < greatest(share * size, min_rows) as short from cells)
 """
+# Sizes in bytes; the plan of the sources, the records in Pareto order, and what is given.
 _P7 = """
-with d as (select source, sum(octet_length(encode(coalesce(text, '')))) as size from documents where source is not null group by source)
-select t.source from mix_targets t left join d using (source) where coalesce(size, 0) * max_repeats < weight * (select sum(size) from d)
+with d as (select doc_id, source, coalesce(octet_length(encode(text)), 0) as tokens from documents where source is not null),
+per as (select source, sum(tokens) as size, count(*) as records from d group by source),
+t as (select source, sum(coalesce(weight, 0)) as weight, max(coalesce(max_repeats, 1)) as max_repeats from mix_targets where source is not null group by source),
+w as (select t.source, weight, max_repeats, cast(coalesce(size, 0) as bigint) as size, weight * (select sum(size) from per) as target from t left join per using (source)),
+c as (select *, size * max_repeats < target as lacks, case when size * max_repeats < target then max_repeats else cast(floor(target / greatest(size, 1)) as bigint) end as copies from w),
+plan as (select *, case when lacks then 0.0::double else target - copies * size end as rest from c),
+u as (select d.*, copies, rest, (cast('0x' || substr(md5('7' || doc_id || '/' || source), 1, 13) as bigint) + 0.5::double) / 4503599627370496 as u, rest / size as p from d join plan using (source)),
+o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from u),
+s as (select *, rest > 0 and tokens > 0 as drawn, sum(tokens) over (partition by source, rest > 0 and tokens > 0 order by odds, doc_id rows unbounded preceding) as upto from o),
+mix as (select doc_id, source, cast(tokens as bigint) as tokens, cast(copies + case when drawn and upto - tokens / 2 < rest then 1 else 0 end as bigint) as uses from s),
+given as (select source, cast(sum(tokens * uses) as bigint) as given, max(uses) as uses from mix where uses > 0 group by source),
+report as (select plan.source, size, target, coalesce(given, 0) as given, coalesce(uses, 0) as uses, coalesce(given, 0) / greatest((select sum(given) from given), 1) as share, lacks and coalesce(given, 0) < target as short from plan left join given using (source))
 """
 
 
@@ -190,7 +241,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "select scope, word, mark from marked where mark is not null",
         "p1_words": _P1 + "select scope, word, total, rows, records, mark from marked",
-        "p3_found": _P3,
-        "p4_found": _P4,
-        "p7_found": _P7,
+        "p1_ngrams": _NGRAMS,
+        "p3_found": _P3_FOUND,
+        "p3_ranking": _P3 + "select id, model, pos, cast(place as int) as place, median, round(mean, 6) as mean from placed",
+        "p3_overall": _OVERALL + "select model, item, median, round(mean, 6) as mean, place from placed",
+        "p4_found": _P4 + "select set_name, class_name from report where short",
+        "p4_report": _P4 + "select set_name, class_name, share, min_rows, available, seats, round(seats / greatest(size, 1), 6) as reached, short from report",
+        "p4_sample": _P4 + "select id, set_name, class_name from taken where taken",
+        "p7_found": _P7 + "select source from report where short",
+        "p7_byte_report": _P7 + "select source, size, round(target, 3) as target, given, uses, round(share, 6) as share, short from report",
+        "p7_byte_mix": _P7 + "select doc_id, source, tokens, uses from mix where uses > 0",
     }

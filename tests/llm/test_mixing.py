@@ -53,3 +53,13 @@ def test_sizes_are_those_of_whole_texts(spark):
     d = spark.createDataFrame([(1, "x" * 100_000 + " end"), (2, None), (3, "")], "id long, text string")
     n = {r.id: r.tokens for r in mixing.token_sizes(d, "text", ["id"]).collect()}
     assert n[2] == n[3] == 0 and n[1] == len(mixing._encoding(mixing.TOKENIZER).encode_ordinary("x" * 100_000 + " end"))
+
+
+def test_certain_records_and_bytes(spark):
+    # The preferred record would have a probability above 1: it is taken for certain, the others share the rest.
+    d = spark.createDataFrame([(0, "x" * 50, "a", 1000.0)] + [(i, "y" * 10, "a", 1.0) for i in range(1, 41)] + [(90, "z" * 10, "a", 0.0)], "doc_id long, text string, source string, liked double")
+    t = spark.createDataFrame([("a", 0.5, 1)], "source string, weight double, max_repeats int")
+    m = mixing.Mixture(d, t, tokenizer=mixing.BYTES, appeal="liked")
+    rows = {x.key: x.tokens for x in m.sample().collect()}
+    assert 0 in rows and 90 not in rows and abs(sum(rows.values()) - 230) <= 5
+    assert [(x.size, x.given) for x in m.report().collect()] == [(460, 230)]
