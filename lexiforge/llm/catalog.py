@@ -88,7 +88,7 @@ def p4_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    p = overlap.case_overlap(_t(s, d, "cases")).record_pairs()
+    p = overlap.case_overlap(_t(s, d, "cases")).record_pairs(least=4)
     return p.select(F.least("eval_key", "train_key").alias("case_id_a"), F.greatest("eval_key", "train_key").alias("case_id_b"))
 
 

@@ -53,6 +53,7 @@ class Tables:
         self.ccc = np.zeros(SIZE, np.uint8)
         self.lower = np.arange(SIZE, dtype=np.int32)
         self.word = np.zeros(SIZE, bool)  # letters and decimal digits
+        self.space = np.array([chr(i).isspace() for i in cps])
         self.latin, self.other, self.letter = np.zeros(SIZE, bool), np.zeros(SIZE, bool), np.zeros(SIZE, bool)
         fold: dict[int, list[int]] = {}
         pairs: dict[tuple[int, int], int] = {}

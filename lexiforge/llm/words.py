@@ -42,12 +42,19 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows, and the number of each row's first word (rows + 1)."""
+def _spans(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of code points that are given one after the other."""
+    within = np.arange(len(values)) - np.repeat(first, size)
+    return mix(np.add.reduceat(_char_hash()[values] * _powers(int(size.max()))[within], first) + size.astype(np.uint64))
+
+
+def word_hashes(points: np.ndarray, offsets: np.ndarray, blanks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and the number of each row's first word (rows + 1). With
+    `blanks` a word is a run of anything but white space."""
     t = tables()
     points, offsets, _ = unify_points(points, offsets)
     low = np.minimum(points, SIZE - 1)
-    is_word = t.word[low]
+    is_word = ~t.space[low] if blanks else t.word[low]
     edge = np.zeros(len(points) + 1, bool)
     edge[offsets] = True
     start = is_word.copy()
@@ -56,12 +63,18 @@ def word_hashes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     first = np.flatnonzero(start[at])
-    size = np.diff(np.append(first, len(at)))
-    within = np.arange(len(at)) - np.repeat(first, size)
-    values = _char_hash()[t.lower[low[at]]] * _powers(int(size.max()))[within]
-    hashes = mix(np.add.reduceat(values, first) + size.astype(np.uint64)).view(np.int64)
-    rows = np.searchsorted(at[first], offsets)
-    return hashes, rows
+    hashes = _spans(t.lower[low[at]], first, np.diff(np.append(first, len(at)))).view(np.int64)
+    return hashes, np.searchsorted(at[first], offsets)
+
+
+def value_hashes(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One hash for each row as it is, without folding or splitting; 0 for an empty one."""
+    size = np.diff(offsets)
+    full = size > 0
+    out = np.zeros(len(size), np.int64)
+    if full.any():
+        out[full] = _spans(np.minimum(points, SIZE - 1), offsets[:-1][full], size[full]).view(np.int64)
+    return out
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
