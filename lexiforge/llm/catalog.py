@@ -101,7 +101,8 @@ def _leaks(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:
-    return _leaks(s, d).select("item_id", "doc_id")
+    """Items of fewer than eight words that a document holds whole are in p6_items, not here."""
+    return _leaks(s, d).where("words >= 8").select("item_id", "doc_id")
 
 
 def p6_items(s: SparkSession, d: str) -> DataFrame:
@@ -109,7 +110,7 @@ def p6_items(s: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(s: SparkSession, d: str) -> DataFrame:
-    """Documents where the five rarest terms of an item stand close together."""
+    """Documents where four of the five rarest terms of an item stand close together."""
     return leakage.search_near(leakage.build_index(_t(s, d, "documents")), _t(s, d, "eval_items"))
 
 

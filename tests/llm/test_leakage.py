@@ -38,13 +38,14 @@ def test_search_equals_brute_force(spark):
                 for a in range(len(x)):
                     at.setdefault(x[a], []).append(a)
                 best = 0
-                for s in range(len(w) - least + 1):
+                size = min(least, len(w))
+                for s in range(len(w) - size + 1 if size else 0):
                     for a in at.get(w[s], []):
                         n = 0
                         while s + n < len(w) and a + n < len(x) and x[a + n] == w[s + n]:
                             n += 1
                         best = max(best, n)
-                if best >= least:
+                if size and best >= size:
                     want[item, doc] = best
         got = leakage.search(leakage.build_index(d), i, least=least).collect()
         assert {(r.item_id, r.doc_id): r.words for r in got} == want
@@ -54,8 +55,22 @@ def test_search_equals_brute_force(spark):
 def test_near(spark):
     docs = spark.createDataFrame([(1, "d c b a e"), (2, "a b " + "z " * 50 + "c d e"), (3, "a b c d"), (None, "a b c d e")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e"), (2, "a b"), (3, "a b c d q")], "item_id long, text string")
-    got = leakage.search_near(leakage.build_index(docs), items, terms=5, span=10)
+    index = leakage.build_index(docs)
+    got = leakage.search_near(index, items, terms=5, need=5, span=10)
     assert [tuple(r) for r in got.collect()] == [(1, 1)]
+    got = leakage.search_near(index, items, terms=5, need=4, span=10)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]
+
+
+def test_very_many_items(spark):
+    """One pass and one scan for a hundred thousand items."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(random.choice(words) for _ in range(10))) for i in range(100_000)]
+    docs = [(i, " ".join(random.choice(words) for _ in range(200))) for i in range(300)] + [(1000 + i, "start " + items[i * 997][1] + " end") for i in range(100)]
+    index = leakage.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    got = leakage.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.item_id, r.doc_id, r.words) for r in got} == {(i * 997, 1000 + i, 10) for i in range(100)}
 
 
 def test_empty(spark):
