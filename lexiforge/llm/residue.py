@@ -22,6 +22,8 @@ empty texts are not residue. Nothing has a limit of length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,7 @@ SCRIPT_CUE = r"(?<!\w)(enabled?|enabling|disabled?|allow(ed|ing)?|requir(ed?|es)
 SLACK = 2
 # Checks before a page opens, which ask for no script by name.
 GATE = r"checking (if )?(your browser|the site connection|you are human)( .*)?|(please )?(verify|confirm)( that)? you are( a| not a)? (human|robot)( by .*)?|verifying you are human( .*)?|dang kiem tra trinh duyet( .*)?|ban co phai( la)? (nguoi|robot)( .*)?|(please )?(enable|allow|turn on) (it|them) (to|and) (continue|proceed|reload|try again)( .*)?|reload( the page)? after (changing|enabling|allowing) .*|tai lai trang sau khi (bat|mo|doi) .*"
+GATE_FIRST = "checking verifying verify confirm please enable allow turn reload dang ban tai".split()
 # Talk of text to come: things that are written, and signs that they are not yet.
 COMING = "your the this that a an some any of our to be will goes go comes come is are for in on and or here there now soon later below above sub main short long body text texts title titles headline heading subheading content copy paragraph paragraphs sentence line lines description caption quote image photo picture logo name section item page intro summary word words placeholder dummy sample filler example temporary temp draft mock insert add enter type write paste put edit replace replaced written updated filled added changed layout only just nothing real actual final click tap".split()
 COMING_VI = "noi dung mau van ban giu cho tieu de o day mo ta ngan dai se viet sau nay de chu doan duoc thay the la thu tam cap nhat nhap vao tai them dang bo sung hinh anh vi du dong cau phu chua co chen dien ten muc gioi thieu can go minh hoa".split()
@@ -108,6 +111,9 @@ MENU = [
     "rat tiec", "xin loi( quy khach| ban)?", "(we are |we re )?(so )?sorry", "oops", "whoops", "vui long thu lai sau( it phut)?", "please try again( later)?", "try again later", "\\w* ?mot chut nua thoi", "please wait", "just a moment", "(please )?(log|sign) ?in again", "(please )?check (your|the) (internet |network )?(connection|address|url|spelling)( and try again)?", "vui long kiem tra( lai)?( ket noi| mang| duong truyen| duong dan| internet)*", "(click|tap) (here )?to (edit|change|add)( \\w+)*", "vui long (cho|doi)( trong giay lat)?", "0", "c 0", "(ma loi|code|ref(erence)?|ma theo doi|ma tham chieu|ma su co|tracking (code|id|number)|(request|incident|trace|event|ray|case) id|ma yeu cau)( (zhex|zcode|0))+",
 ]
 
+#: First words of the patterns above.
+MENU_FIRST = "home start homepage return go skip subscribe follow read loading nginx apache cloudflare about help contact sign signup signin log login logout register menu search back next previous news faq terms privacy cookie all sitemap site copyright powered version ref reference quay ve lai xem trang tin lien gioi dang tro tim chinh dieu phien ban rat xin we so sorry oops whoops vui please try just click tap check 0 c ma code tracking request incident trace event ray case zaddress".split()
+
 # Looser cues for segments that recur. "loi" alone is no cue: without accents it is also a word of speech or gain.
 _ERROR_CUE = r"error|exception|fail(ed|ure|s)?|denied|forbidden|unauthori[sz]ed|not found|can(not| t) be (found|reached|displayed|loaded)|could not be (found|reached|displayed|loaded|opened)|unavailable|time ?out|timed out|refused|rejected|expired|overloaded|went wrong|bad (gateway|request)|under maintenance|no longer (exists?|available)|(http|status|code|err|ma|loi|trang thai) zcode|zcode (http|status|code|err|ma|loi)|(bi|gap|co|xay ra|ma) loi|loi (may chu|he thong|ket noi|mang|trang|tai|0)|su co|qua tai|dang bao tri|khong (tim thay|ton tai|kha dung|truy cap duoc|the (tai|mo|ket noi|truy cap))|bi (tu choi|chan|gian doan)|het han"
 _FILLER_CUE = ["placeholder", "dummy", "filler", "sample", "headline", "giu", "mau"]
@@ -136,15 +142,25 @@ def open_slot(col: Column) -> Column:
     return maybe & F.regexp_replace(col, QUOTED, " ").rlike(SLOT)
 
 
-def normalised(segment: Column) -> Column:
-    """The masked form of a segment, for the exact hash: letters and 0 between single blanks."""
-    s = bare(segment)
-    s = F.regexp_replace(s, r"\b(https?://|www\.)\S+|\S+@\S+\.\w+|(?<!\S)/[\w./-]+", " zaddress ")
+def normalised(parts: Column) -> Column:
+    """The masked forms of an array of segments, for the exact hash: letters and 0 between single blanks.
+    One step after the other over the array, so that no step is repeated within the next."""
+    steps = [
+        bare,
+        lambda s: F.when(F.contains(s, F.lit("/")) | F.contains(s, F.lit("@")) | F.contains(s, F.lit("www.")), F.regexp_replace(s, r"\b(https?://|www\.)\S+|\S+@\S+\.\w+|(?<!\S)/[\w./-]+", " zaddress ")).otherwise(s),
+        lambda s: F.when(s.rlike("[0-9]"), _numbers(s)).otherwise(s),
+        lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}0]+", " ")),
+    ]
+    for step in steps:
+        parts = F.transform(parts, step)
+    return parts
+
+
+def _numbers(s: Column) -> Column:
     s = F.regexp_replace(s, r"\b\d{1,4}[-/.:]\d{1,2}([-/.:]\d{1,4})?\b", " 0 ")
     s = F.regexp_replace(s, r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b", " zhex ")
     s = F.regexp_replace(s, r"(?<![\w])[45]\d\d(?![\w])", " zcode ")
-    s = F.regexp_replace(s, r"\d+", "0")
-    return F.trim(F.regexp_replace(s, r"[^\p{L}0]+", " "))
+    return F.regexp_replace(s, r"\d+", "0")
 
 
 def _count(words: Column, of: list[str]) -> Column:
@@ -156,30 +172,37 @@ def _only(words: Column, *of: list[str]) -> Column:
     return F.forall(words, lambda w: w.isin(sorted({x for part in of for x in part})))
 
 
-def kind_of(segment: Column) -> Column:
-    """The kind of a normalised segment: error, script, filler, furniture or null."""
+def prepared(segment: Column) -> Column:
+    """A normalised segment with its words, and how many are keys pressed at random or dummy Latin."""
     words = F.split(segment, " ")
+    return F.struct(segment.alias("text"), words.alias("words"), _count(words, MASH).alias("mash"), _count(words, [*LATIN, *LATIN_MORE]).alias("dummy"))
+
+
+def kind_of(x: Column) -> Column:
+    """The kind of a prepared segment: error, script, filler, furniture or null."""
+    segment, words = x["text"], x["words"]
     whole = lambda p: segment.rlike(f"^({p})$")
+    has = lambda *of: reduce(lambda a, b: a | b, [F.contains(segment, F.lit(w)) for w in of])
     listed = lambda *of: "|".join(sorted({x for part in of for x in part}, key=len, reverse=True))
     # Possessive repeats of whole words: time is linear in a segment of any length, and no stack grows.
     run = lambda p: rf"(?:(?:{p})(?: |$))++"
     code = r"((http|error|err|status|loi|ma loi) ){0,4}zcode|zhex"
-    named = F.exists(words, lambda w: w.isin(SCRIPT_NAMES))
-    demand = [GLUE, THINGS, SCRIPT_WORDS, VI_WORDS, SCRIPT_VI]
-    slack = F.size(F.filter(words, lambda w: ~w.isin(sorted({x for part in demand for x in part}))))
-    script = (named & segment.rlike(SCRIPT_CUE) & (slack <= SLACK) & ~segment.rlike(rf"(?<!\w)({_TOLD})(?!\w)")) | whole(GATE)
+    named = has("script", "js", "cookie") & F.exists(words, lambda w: w.isin(SCRIPT_NAMES))
+    demand = sorted({w for part in (GLUE, THINGS, SCRIPT_WORDS, VI_WORDS, SCRIPT_VI) for w in part})
+    script = (named & segment.rlike(SCRIPT_CUE) & (F.size(F.filter(words, lambda w: ~w.isin(demand))) <= SLACK) & ~segment.rlike(rf"(?<!\w)({_TOLD})(?!\w)")) | (words[0].isin(GATE_FIRST) & whole(GATE))
     message = _only(words, GLUE, THINGS, SIGNS, VI_WORDS)
     error = message & ((segment.rlike(SIGN) & segment.rlike(THING)) | (segment.rlike(VI_SIGN) & segment.rlike(VI_THING)))
     fill = sorted({*COMING, *COMING_VI, *MASH, *LATIN, *LATIN_MORE})
     coming = F.forall(words, lambda w: w.isin(fill) | w.rlike(PRESSED)) & segment.rlike(COMING_NOUN) & segment.rlike(COMING_SIGN)
-    n, sure = F.size(words), _count(words, [*MASH, *LATIN, *LATIN_MORE])
-    mashed = whole(run(listed(MASH, LATIN, LATIN_MORE, LATIN_TOO, ["0", "x{3,}", "z{3,}", "a{3,}", "(?:asdf|qwer|zxcv|hjkl|sdfg|dfgh|fdsa){2,}"]))) & ~whole(run(listed(LATIN_TOO, ["0"])))
-    mostly = (n >= 6) & (sure + _count(words, LATIN_TOO) >= 0.8 * n) & (sure >= 0.5 * n)
+    n, sure = F.size(words), x["mash"] + x["dummy"]
+    pressed = (sure > 0) | has("xxx", "zzz", "aaa", "asdf", "qwer", "zxcv", "hjkl", "sdfg", "dfgh", "fdsa")
+    mashed = pressed & whole(run(listed(MASH, LATIN, LATIN_MORE, LATIN_TOO, ["0", "x{3,}", "z{3,}", "a{3,}", "(?:asdf|qwer|zxcv|hjkl|sdfg|dfgh|fdsa){2,}"])))
+    mostly = (n >= 6) & (sure >= 0.5 * n) & (sure + _count(words, LATIN_TOO) >= 0.8 * n)
     return (
-        F.when(whole(run(listed(MENU, ["zaddress"]))), "furniture")
+        F.when((words[0].isin(MENU_FIRST) | has("mot chut nua thoi")) & whole(run(listed(MENU, ["zaddress"]))), "furniture")
         .when(script, "script")
-        .when(whole(code) | error, "error")
-        .when(mashed | mostly | whole(r"(\w++)(?: \2(?= |$)){2,}+") | (coming & (n >= 3)), "filler")
+        .when((has("zcode", "zhex") & whole(code)) | error, "error")
+        .when(mashed | mostly | ((n >= 3) & (words[0] == words[1]) & whole(r"(\w++)(?: \2(?= |$)){2,}+")) | (coming & (n >= 3)), "filler")
     )
 
 
@@ -200,17 +223,17 @@ def furniture_like(segment: Column) -> Column:
 
 
 class Residue:
-    """texts: (key, source, slot, segments: array of (hash, text, kind)), written once; known: (hash, kind) of the
+    """texts: (key, source, slot, segments: array of (hash, text, dummy, kind)), written once; known: (hash, kind) of the
     segments whose kind comes from the corpus; templates, found, kept: see there."""
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> None:
         """Rows without a key or with a null or empty text have no part; rows of equal keys count as one text."""
         t = df.select(F.col(key).alias("key"), F.col(source).alias("source"), consistent(F.col(text)).alias("text")).where("key is not null and text is not null and text != ''")
         parts = F.split("text", r"[\n\r|•·›»]+|(?<=[.!?…])\s+")
-        segments = F.filter(F.array_distinct(F.transform(parts, normalised)), lambda x: x != "")
+        segments = F.filter(F.array_distinct(normalised(parts)), lambda x: x != "")
         # The generator keeps the optimizer from normalising again in every place that uses the segments.
         t = t.select("key", "source", open_slot(F.col("text")).alias("slot"), F.explode(F.array(segments)).alias("_s"))
-        self.texts = write_table(t.select("key", "source", "slot", F.transform("_s", lambda x: F.struct(F.xxhash64(x).alias("hash"), x.alias("text"), kind_of(x).alias("kind"))).alias("segments")), "segments")
+        self.texts = write_table(t.select("key", "source", "slot", F.transform(F.transform("_s", prepared), lambda x: F.struct(F.xxhash64(x["text"]).alias("hash"), x["text"].alias("text"), x["dummy"].alias("dummy"), kind_of(x).alias("kind"))).alias("segments")), "segments")
         self.known = write_table(self._recurring().unionByName(self._dummy()).groupBy("hash").agg(F.min("kind").alias("kind")), "kinds")
 
     def _rows(self, *cols: str) -> DataFrame:
@@ -236,11 +259,10 @@ class Residue:
         """(hash, kind) of segments made of dummy words that the corpus teaches."""
         known = [*LATIN, *LATIN_MORE]
         words = F.split("s.text", " ")
-        rows = self._rows("source").select(F.col("s.hash").alias("hash"), F.col("s.kind").alias("kind"), F.array_distinct(words).alias("words"), F.size(words).alias("n"))
-        near = rows.where(_count(F.col("words"), known) >= F.greatest(F.lit(SEEDS), SEED_SHARE * F.size("words"))).select(F.explode("words").alias("word")).where(~F.col("word").isin(known) & (F.char_length("word") > 2))
+        rows = self._rows("source").select(F.col("s.hash").alias("hash"), F.col("s.dummy").alias("dummy"), words.alias("words"))
+        near = rows.where((F.col("dummy") >= SEEDS) & (F.col("dummy") >= SEED_SHARE * F.size("words"))).select(F.explode(F.array_distinct("words")).alias("word")).where(~F.col("word").isin(known) & (F.char_length("word") > 2))
         beside = write_table(near.groupBy("word").agg(F.count("*").alias("beside")).where(F.col("beside") >= LEAST).select("word"), "beside")
-        alone = ~F.exists("words", lambda w: w.isin(known))
-        every = rows.select(F.explode("words").alias("word"), alone.alias("alone")).join(small(beside), "word").groupBy("word").agg(F.count("*").alias("all"), F.count_if("alone").alias("alone"))
+        every = rows.select(F.explode("words").alias("word"), (F.col("dummy") == 0).alias("alone")).join(small(beside), "word").groupBy("word").agg(F.count("*").alias("all"), F.count_if("alone").alias("alone"))
         learned = write_table(every.where(F.col("alone") <= STRAY * F.col("all")).select("word"), "dummy")
         some = self._rows("key").where("s.kind is null").select("key", F.col("s.hash").alias("hash"), F.size(words).alias("n"), F.explode(words).alias("word")).join(small(learned), "word")
         taught = some.groupBy("key", "hash").agg(F.count("*").alias("k"), F.max("n").alias("n")).select("hash", "k").distinct()
