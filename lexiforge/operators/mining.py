@@ -65,7 +65,7 @@ def diff(clean: Column, typed: Column) -> Column:
 
 
 #: Short forms of chat, which are no mistakes.
-CHAT_FORMS = "ko k hok khong kg dc đc vs ns mk mik j gi vk ck r rui z bt ntn".split()
+CHAT_FORMS = "ko k dc đc đk dk vs j ntn ròi hok hông z".split()
 
 
 @F.arrow_udf(T.BooleanType())

@@ -24,22 +24,22 @@ def _known(df: DataFrame, cols: list[str], known: DataFrame) -> DataFrame:
     return df
 
 
-def counts(tokens: DataFrame, n: int, known: DataFrame | None = None, weight: Column | None = None, names: tuple[str, ...] = ("a", "b", "w")) -> DataFrame:
-    """A4: (names[-n:], n) of word runs without a break between them; of known words only if given."""
+def counts(tokens: DataFrame, n: int, known: DataFrame | None = None, weight: Column | None = None, names: tuple[str, ...] = ("a", "b", "w"), must: int | None = None) -> DataFrame:
+    """A4: (names[-n:], n) of word runs without a break between them; of known words only if given, or of
+    runs whose first `must` words are known. Unknown ones are dropped before they are counted or shuffled."""
     cols = list(names[-n:])
     d = tokens.select(F.explode(sliding(F.col("tokens"), n)).alias("g"), (weight if weight is not None else F.lit(1)).cast("long").alias("weight"))
     d = d.where(reduce(lambda p, q: p & q, [F.col("g")[i] != "" for i in range(n)]))
     d = d.select(*[F.col("g")[i].alias(c) for i, c in enumerate(cols)], "weight")
     if known is not None:
-        d = _known(d, cols, known)
+        d = _known(d, cols[:must], known)
     return d.groupBy(*cols).agg(F.sum("weight").alias("n"))
 
 
 def bigram_probabilities(tokens: DataFrame, known: DataFrame, least: int = 6) -> DataFrame:
     """A2: (prev, word, n, total, q): pairs of known words; a total counts every word, known or not,
     behind a known one, and no break or end."""
-    pairs = counts(tokens, 2, names=("prev", "word"))
-    pairs = _known(pairs, ["prev"], known)
+    pairs = counts(tokens, 2, known, names=("prev", "word"), must=1)
     totals = pairs.groupBy("prev").agg(F.sum("n").alias("total"))
     kept = _known(pairs.where(F.col("n") >= least), ["word"], known)
     return kept.join(totals, "prev").withColumn("q", quantise(F.col("n") / F.col("total")))
@@ -47,7 +47,7 @@ def bigram_probabilities(tokens: DataFrame, known: DataFrame, least: int = 6) ->
 
 def trigram_probabilities(tokens: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
     """A3: (first, second, word, n, total, q)."""
-    d = _known(counts(tokens, 3, names=("first", "second", "word")), ["first", "second"], known)
+    d = counts(tokens, 3, known, names=("first", "second", "word"), must=2)
     totals = d.groupBy("first", "second").agg(F.sum("n").alias("total"))
     kept = _known(d.where(F.col("n") >= least), ["word"], known)
     return kept.join(totals, ["first", "second"]).withColumn("q", quantise(F.col("n") / F.col("total")))

@@ -47,6 +47,10 @@ class Tuning:
     revise_margin: float = 8.0
     revise_far: float = 12.0
     revise_ambiguity: float = 3.0
+    pair_weight: float = 0.5
+    split_margin: float = 2.0
+    split_lift: float = 1.0
+    split_floor: float = 5.0
 
 
 BALANCED = Tuning()
@@ -86,6 +90,21 @@ def language_bias(vote_: Column, vi: Column, en: Column, penalty: float = 3.0) -
     return F.when(against, -penalty * F.abs(vote_)).otherwise(0.0)
 
 
+def in_context(ln: Column, p: Column, weight: float = BALANCED.pair_weight) -> Column:
+    """R2: ln per billion of a word, raised (or lowered) by its probability p behind the word before;
+    as it is where p is null."""
+    mixed = F.ln(weight * p + (1 - weight) * F.exp(ln - LN_BILLION)) + LN_BILLION
+    return F.when(p.isNull(), ln).otherwise(mixed)
+
+
+def right_bonus(word_ln: Column, next_ln: Column, p: Column, weight: float = BALANCED.pair_weight) -> Column:
+    """What the word that follows says for a word: ln of how much likelier it is there than alone.
+    0 if either is unknown; p is the probability of the pair, null if it was never seen."""
+    alone = F.exp(next_ln - LN_BILLION)
+    bonus = F.when(p.isNull(), math.log(1 - weight)).otherwise(F.ln(weight * p + (1 - weight) * alone) - F.ln(alone))
+    return F.when(word_ln.isNull() | next_ln.isNull(), 0.0).otherwise(bonus)
+
+
 def log_add(score: str) -> Column:
     """A10 as an aggregate: ln of the sum of exponentials, without overflow. Scores here lie between
     -60 and 30, so their exponentials do not leave the range of doubles."""
@@ -175,19 +194,39 @@ def near_candidates(keys: DataFrame, words: DataFrame, restrict: bool = True) ->
     likely = words.where("vi is not null").select(F.explode(word_signatures("word")).alias("_g")).distinct()
     vi = d.join(small(likely), "_g", "left_semi").withColumn("_t", telex("_k")).where("_t.kind = 'vietnamese'").withColumn("_v", F.col("_t.text"))
     vi = vi.join(w.where("vi is not null").select(F.col("word").alias("_v"), "vi", "en"), "_v").select("keys", "syllable", F.col("_v").alias("word"), (F.col("vi") - F.col("cost")).alias("s"), "vi", "en")
-    out = en.unionByName(vi).where((F.col("word") != F.col("keys")) & (F.col("syllable").isNull() | (F.col("word") != F.col("syllable"))))
+    out = en.withColumn("of_en", F.lit(True)).unionByName(vi.withColumn("of_en", F.lit(False))).where((F.col("word") != F.col("keys")) & (F.col("syllable").isNull() | (F.col("word") != F.col("syllable"))))
     if restrict:
         out = out.where(F.col("syllable").isNull() | same_word(F.col("syllable"), F.col("word")))
-    return out.groupBy("keys", "word").agg(log_add("s").alias("score"), F.max("vi").alias("vi"), F.max("en").alias("en"))
+    return _added(out)
+
+
+def _added(ways: DataFrame) -> DataFrame:
+    """(keys, word, score, as_vi, as_en, vi, en): all ways from keys to a word as one score; also by language."""
+    of = lambda test: F.ln(F.sum(F.when(test, F.exp("s"))))
+    return ways.groupBy("keys", "word").agg(log_add("s").alias("score"), of(~F.col("of_en")).alias("as_vi"), of(F.col("of_en")).alias("as_en"), F.max("vi").alias("vi"), F.max("en").alias("en"))
+
+
+def contextual(candidates: DataFrame, contexts: DataFrame, bigrams: DataFrame | None, tuning: Tuning = BALANCED) -> DataFrame:
+    """The candidates of keys in each context (keys, before, vote) of theirs, `score` with the word before
+    and the language of the phrase. bigrams: (prev, word, p); the reading of each language is raised on its own."""
+    d = candidates.join(contexts, "keys")
+    if bigrams is not None:
+        d = d.join(small(bigrams.select(F.col("prev").alias("before"), "word", F.col("p").alias("_p"))), ["before", "word"], "left")
+    else:
+        d = d.withColumn("_p", F.lit(None).cast("double"))
+    p = F.col("_p")
+    raised = lambda part, ln: F.exp(part + in_context(ln, p, tuning.pair_weight) - ln)
+    both = F.coalesce(raised(F.col("as_vi"), F.col("vi")), F.lit(0.0)) + F.coalesce(raised(F.col("as_en"), F.col("en")), F.lit(0.0))
+    return d.withColumn("score", F.ln(both) + language_bias(F.col("vote"), F.col("vi"), F.col("en"), tuning.penalty)).drop("_p")
 
 
 def far_candidates(keys: DataFrame, words: DataFrame) -> DataFrame:
     """(keys, word, score, vi, en): words two slips away of unknown keys."""
     en = words.where("en is not null").select(F.col("word").alias("target"), "word", F.col("en").alias("ln"), "vi", "en")
     vi = words.where("vi is not null").select(telex_keys("word").alias("target"), "word", F.col("vi").alias("ln"), "vi", "en")
-    targets = en.unionByName(vi)
+    targets = en.withColumn("of_en", F.lit(True)).unionByName(vi.withColumn("of_en", F.lit(False)))
     d = two_slips_away(keys, targets).join(small(targets), "target").where(F.col("word") != F.col("keys"))
-    return d.withColumn("s", F.col("ln") - F.col("cost")).groupBy("keys", "word").agg(log_add("s").alias("score"), F.max("vi").alias("vi"), F.max("en").alias("en"))
+    return _added(d.withColumn("s", F.col("ln") - F.col("cost")))
 
 
 def restored(keys: DataFrame, words: DataFrame, tuning: Tuning = BALANCED) -> DataFrame:
@@ -200,37 +239,60 @@ def restored(keys: DataFrame, words: DataFrame, tuning: Tuning = BALANCED) -> Da
     return t.where(ok).select("keys", F.col("best").alias("restored"))
 
 
-@F.arrow_udf(T.StringType())
-def cut_runs(keys: pa.Array, scores: pa.Array) -> pa.Array:
-    """Keys cut into syllables with the given scores (map of keys to ln frequency): a beam over
-    the places of cuts. Null unless one cut clearly stands out."""
+#: The keys of a syllable in a run, and the cuts kept at each place.
+PIECE_KEYS, BEAM = (2, 9), 6
+
+
+@F.arrow_udf(struct_type(split=T.StringType(), score=T.DoubleType(), lift=T.DoubleType(), second=T.DoubleType()))
+def cut_runs(keys: pa.Array, pieces: pa.Array, pairs: pa.Array) -> pa.Array:
+    """The best cut of keys into syllables: a beam over the places of cuts. pieces: (at, to, word, ln);
+    pairs: (prev, word, p). Also its score, the least by which a word is likelier behind the one before it
+    than alone, and the score of the runner-up."""
     out = []
-    for k, table in zip(keys.to_pylist(), scores.to_pylist()):
-        known = dict(table or [])
-        beams: list[list[tuple[float, list[str]]]] = [[] for _ in range(len(k) + 1)]
-        beams[0] = [(0.0, [])]
-        for i in range(len(k)):
-            for score, parts in beams[i]:
-                for j in range(i + 2, min(len(k), i + 9) + 1):
-                    piece = k[i:j]
-                    if piece in known:
-                        beams[j] = sorted([*beams[j], (score + known[piece] - LN_BILLION, [*parts, piece])], reverse=True)[:6]
-        done = [b for b in beams[len(k)]]
-        good = done and len(done[0][1]) >= 2 and (len(done) == 1 or done[0][0] - done[1][0] >= 5.0)
-        out.append(" ".join(compose(p)[0] for p in done[0][1]) if good else None)
-    return pa.array(out, pa.string())
-
-
-def split_runs(keys: DataFrame, words: DataFrame, floor: float = 2.0) -> DataFrame:
-    """(keys, split): unknown keys that are several syllables typed without blanks. Every piece of the
-    keys meets the syllables' keys by equality; then each row has the few pieces it needs."""
-    d = keys.select("keys").distinct().where(F.col("keys").rlike("^[a-z]{5,60}$"))
-    starts = F.sequence(F.lit(1), F.char_length("keys") - 1)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(9), F.greatest(F.char_length("keys") - i + 1, F.lit(2)))), lambda n: F.substr("keys", i, n))))
-    s = words.where((F.col("vi") >= floor) & (F.char_length("word") >= 2)).select(telex_keys("word").alias("piece"), F.col("vi").alias("ln")).groupBy("piece").agg(F.max("ln").alias("ln"))
-    p = d.select("keys", F.explode(F.array_distinct(pieces)).alias("piece")).join(small(s), "piece")
-    g = p.groupBy("keys").agg(F.map_from_entries(F.collect_list(F.struct("piece", "ln"))).alias("m"))
-    return g.withColumn("split", cut_runs("keys", "m")).where("split is not null").select("keys", "split")
+    for k, rows, seen in zip(keys.to_pylist(), pieces.to_pylist(), pairs.to_pylist()):
+        from_ = {}
+        for r in rows or []:
+            from_.setdefault(r["at"], []).append(r)
+        chance = {(r["prev"], r["word"]): r["p"] for r in seen or []}
+        beams = {0: [(0.0, (), math.inf)]}
+        for at in range(len(k)):
+            for score, words, lift in beams.pop(at, []):
+                for r in from_.get(at, []):
+                    p = chance.get((words[-1], r["word"])) if words else None
+                    ln = r["ln"] if p is None else math.log(BALANCED.pair_weight * p + (1 - BALANCED.pair_weight) * math.exp(r["ln"] - LN_BILLION)) + LN_BILLION
+                    one = (score + ln - LN_BILLION, (*words, r["word"]), min(lift, ln - r["ln"]) if words else lift)
+                    beams[r["to"]] = sorted([*beams.get(r["to"], []), one], key=lambda x: (-x[0], x[1]))[:BEAM]
+        done = beams.get(len(k), [])
+        good = bool(done) and len(done[0][1]) >= 2
+        out.append({"split": " ".join(done[0][1]), "score": done[0][0], "lift": done[0][2], "second": done[1][0] if len(done) > 1 else None} if good else None)
+    return pa.array(out, pa.struct([("split", pa.string()), ("score", pa.float64()), ("lift", pa.float64()), ("second", pa.float64())]))
+
+
+def split_runs(keys: DataFrame, words: DataFrame, bigrams: DataFrame | None = None, tuning: Tuning = BALANCED) -> DataFrame:
+    """(keys, split): unknown keys that are several syllables typed without blanks. Every piece of the keys
+    meets the syllables' keys by equality, and two pieces that follow each other the pairs of words
+    (prev, word, p); a cut needs every later word to be likelier there by split_lift, so without bigrams
+    nothing is cut."""
+    d = keys.select("keys").distinct().where(F.col("keys").rlike("^[a-z]{5,}$"))
+    low, high = PIECE_KEYS
+    n = F.char_length("keys")
+    starts = F.sequence(F.lit(0), n - low)
+    ends = lambda i: F.sequence(i + low, F.least(n, i + high))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("at"), j.alias("to"), F.substr("keys", i + 1, j - i).alias("piece")))))
+    s = words.where((F.col("vi") >= tuning.split_floor) & (F.char_length("word") >= 2)).select(telex_keys("word").alias("piece"), "word", F.col("vi").alias("ln"))
+    p = d.select("keys", F.explode(pieces).alias("x")).select("keys", "x.at", "x.to", "x.piece").join(small(s), "piece").drop("piece")
+    row = F.struct("at", "to", "word", "ln")
+    g = p.groupBy("keys").agg(F.array_sort(F.collect_list(row)).alias("pieces"))
+    empty = F.array().cast("array<struct<prev:string,word:string,p:double>>")
+    if bigrams is None:
+        g = g.withColumn("pairs", empty)
+    else:
+        left, right = p.select("keys", F.col("to").alias("at"), F.col("word").alias("prev")), p.select("keys", "at", "word")
+        next_to = left.join(right, ["keys", "at"]).select("keys", "prev", "word").distinct().join(small(bigrams.select("prev", "word", "p")), ["prev", "word"])
+        g = g.join(next_to.groupBy("keys").agg(F.array_sort(F.collect_list(F.struct("prev", "word", "p"))).alias("pairs")), "keys", "left").withColumn("pairs", F.coalesce("pairs", empty))
+    g = g.withColumn("_c", cut_runs("keys", "pieces", "pairs"))
+    clear = (F.col("_c.lift") >= tuning.split_lift) & (F.col("_c.second").isNull() | (F.col("_c.score") - F.col("_c.second") >= tuning.split_margin))
+    return g.where(clear).select("keys", F.col("_c.split").alias("split"))
 
 
 def keys_of(col: Column) -> Column:
@@ -239,36 +301,51 @@ def keys_of(col: Column) -> Column:
     return F.when(low.rlike(f"^[a-z]{{{MIN_KEYS},}}$"), low)
 
 
-def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspellings: DataFrame | None = None, personal: DataFrame | None = None) -> DataFrame:
+def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspellings: DataFrame | None = None, personal: DataFrame | None = None, bigrams: DataFrame | None = None, english: bool = True) -> DataFrame:
     """Cases (case_id, typed keys in `raw`, history array) to (case_id, stage, fix): the first
     stage of the cascade that speaks; `fix` null means the word is left alone.
 
-    personal (word, fix): a null fix means ignore. misspellings (keys, fix)."""
+    personal (word, fix): a null fix means ignore. misspellings (keys, fix). bigrams (prev, word, p): candidates
+    are scored behind the word before (R2) and by the language of the phrase (R3). Without `english` a best
+    candidate of plain letters wins by leaving the word alone (P13)."""
     d = cases.select("case_id", "raw", "history").withColumn("lower", F.lower("raw")).withColumn("keys", keys_of(F.col("raw")))
     first = F.substring("raw", 1, 1)
     d = d.withColumn("capital", (F.upper(first) == first) & (F.lower(first) != first)).withColumn("follows", F.size("history") > 0)
+    d = d.withColumn("before", F.coalesce(F.lower(F.try_element_at("history", F.lit(-1))), F.lit("")))
+    d = cut(d.join(history_votes(cases, "case_id", "history", words, tuning.decay), "case_id", "left").withColumn("vote", F.coalesce("vote", F.lit(0.0))))
     empty = d.sparkSession.createDataFrame([], "word string, fix string")
     mine = (personal if personal is not None else empty).select(F.lower("word").alias("lower"), F.col("fix").alias("own_fix"), F.lit(True).alias("own"))
     miss = (misspellings if misspellings is not None else empty.select(F.col("word").alias("keys"), "fix")).select("keys", F.col("fix").alias("misspelt"))
-    d = d.join(small(mine), "lower", "left").join(small(miss), "keys", "left")
     scored = cut(typed_scores(d.where("keys is not null"), words, tuning))
-    d = d.join(scored, "keys", "left").join(restored(scored, words, tuning), "keys", "left")
     known = F.coalesce(F.col("typed") >= F.when(F.col("syllable").isNotNull(), tuning.known_syllable).otherwise(tuning.known_word), F.lit(False))
     open_ = scored.where(~known)
-    near = cut(near_candidates(open_, words))
-    near_top = cut(top_two(near, ["keys"])).select("keys", F.col("best").alias("near"), F.col("best_score").alias("near_score"), F.col("second_score").alias("near_second"))
-    unknown = open_.where("typed is null")
-    nothing = cut(unknown.join(near_top.where(confident(F.col("near_score"), F.lit(None).cast("double"), F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)), "keys", "left_anti"))
-    far_top = top_two(far_candidates(nothing, words), ["keys"]).select("keys", F.col("best").alias("far"), F.col("best_score").alias("far_score"), F.col("second_score").alias("far_second"))
-    d = d.join(near_top, "keys", "left").join(far_top, "keys", "left").join(split_runs(nothing, words), "keys", "left")
-    d = d.join(near.groupBy("keys").agg(F.max(F.col("en").isNotNull() & F.col("vi").isNull()).alias("near_en")), "keys", "left")
-    d = d.join(near.select("keys", F.col("word").alias("near"), F.col("vi").alias("best_vi")), ["keys", "near"], "left")
-    d = d.withColumn("before", F.lower(F.try_element_at("history", F.lit(-1))))
+    context = ["keys", "before", "vote"]
+    contexts = d.where("keys is not null").select(*context).distinct()
+
+    def leaders(candidates: DataFrame, name: str) -> DataFrame:
+        """Per context the best two, what the lexicons say of the best, and whether a candidate is English only."""
+        c = cut(contextual(candidates, contexts, bigrams, tuning))
+        best = top_two(c, context).select(*context, F.col("best").alias(name), F.col("best_score").alias(f"{name}_score"), F.col("second_score").alias(f"{name}_second"))
+        some = c.groupBy(*context).agg(F.max(F.col("en").isNotNull() & F.col("vi").isNull()).alias(f"{name}_en"))
+        of = words.select(F.col("word").alias(name), F.col("vi").alias(f"{name}_vi"))
+        return best.join(some, context).join(small(of), name, "left")
+
+    near = cut(leaders(near_candidates(open_, words), "near"))
+    nothing_said = ~confident(F.col("near_score"), F.lit(None).cast("double"), F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)
+    unknown = open_.where("typed is null").select("keys", "syllable", "shown")
+    left = contexts.join(unknown.select("keys"), "keys").join(near, context, "left").where(F.col("near_score").isNull() | nothing_said).select("keys").distinct()
+    nothing = cut(unknown.join(left, "keys", "left_semi"))
+    far = leaders(far_candidates(nothing, words), "far")
+    d = d.join(small(mine), "lower", "left").join(small(miss), "keys", "left").join(scored, "keys", "left").join(restored(scored, words, tuning), "keys", "left")
+    d = d.join(near, context, "left").join(far, context, "left").join(split_runs(nothing, words, bigrams, tuning), "keys", "left")
     d = d.join(small(words.select(F.col("word").alias("before"), F.col("vi").alias("before_vi"), F.col("en").alias("before_en"))), "before", "left")
-    phrase = english_phrase(F.col("before_vi"), F.col("before_en"), F.col("best_vi"), F.col("near_en"))
-    acronym = (F.char_length("raw") >= 2) & (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw"))
+    phrase = lambda name: english_phrase(F.col("before_vi"), F.col("before_en"), F.col(f"{name}_vi"), F.col(f"{name}_en"))
+    capitals = (F.char_length("raw") >= 2) & (F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw"))
+    acronym = lambda name: capitals & (F.col(f"{name}_score") < ACRONYM)
+    plain = lambda name: F.lit(not english) & ~F.col(name).rlike("[^\\x00-\\x7F]")
     near_ok = confident(F.col("near_score"), F.col("typed") - tuning.rare, F.col("near_second"), tuning.margin, tuning.floor, tuning.ambiguity)
-    far_ok = confident(F.col("far_score"), F.lit(None).cast("double"), F.col("far_second"), tuning.margin, tuning.far_floor, tuning.far_ambiguity)
+    far_ok = F.col("typed").isNull() & ~F.col("capital") & (F.char_length("keys") >= FAR_KEYS)
+    far_ok = far_ok & confident(F.col("far_score"), F.lit(None).cast("double"), F.col("far_second"), tuning.margin, tuning.far_floor, tuning.far_ambiguity)
     steps: list[tuple[Column, str, Column | None]] = [
         (F.col("own") & F.col("own_fix").isNotNull(), "personal fix", F.col("own_fix")),
         (F.col("own"), "personal ignore", None),
@@ -278,11 +355,15 @@ def decide(cases: DataFrame, words: DataFrame, tuning: Tuning = BALANCED, misspe
         (F.col("restored").isNotNull() & ~F.col("capital"), "restored", F.col("restored")),
         (known, "known", None),
         (F.col("capital") & (F.col("typed").isNotNull() | F.col("follows")), "name", None),
-        (near_ok & phrase, "english phrase", None),
-        (near_ok & acronym & (F.col("near_score") < ACRONYM), "acronym", None),
+        (F.col("near").isNotNull() & plain("near"), "plain", None),
+        (near_ok & phrase("near"), "english phrase", None),
+        (near_ok & acronym("near"), "acronym", None),
         (near_ok, "near", F.col("near")),
         (F.col("typed").isNull() & F.col("split").isNotNull(), "split", F.col("split")),
-        (F.col("typed").isNull() & ~F.col("capital") & (F.char_length("keys") >= FAR_KEYS) & far_ok, "far", F.col("far")),
+        (far_ok & plain("far"), "plain", None),
+        (far_ok & phrase("far"), "english phrase", None),
+        (far_ok & acronym("far"), "acronym", None),
+        (far_ok, "far", F.col("far")),
     ]
     stage, fix = F.lit("none"), F.lit(None).cast("string")
     for test, name, out in reversed(steps):

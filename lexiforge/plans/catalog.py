@@ -12,7 +12,7 @@ from ..functions.corrupt import by_rules, corrupted
 from ..functions.syllable import canonical_syllable, telex, telex_keys, vni_keys
 from ..functions.typist import typed_with_slip
 from ..operators import evaluate, journal, learned, lexicon, mining, ngrams, rank, sampling, similar, tokens
-from ..session import cut, running, spread
+from ..session import cut, running, small, spread
 from ..sources import readers
 from ..streaming import engine, windows
 from . import sql
@@ -179,9 +179,10 @@ def usable_sentences(s, d):
     return lexicon.usable(lexicon.sentence_stats(_lines(s, d), ["doc_id", "line"], "text", _known(s, d)))
 
 
-@query(f"""with {sql.LINES} select doc_id, line from lines where len(regexp_extract_all(text, '\\p{{L}}+')) between 4 and 45 and not regexp_matches(text, '[\\x{{3000}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}\\x{{0400}}-\\x{{04ff}}\\x{{0600}}-\\x{{06ff}}\\x{{0e00}}-\\x{{0e7f}}]')
-and not regexp_matches(text, '[<>{{}}\\[\\]|\\\\_#*]') and not regexp_matches(text, '(?i)^(câu|tin|ví dụ|dòng|message)\\s*\\d*\\s*[:.)]?\\s*$|^\\s*(câu|tin nhắn)\\s+\\d+\\b')
-and not regexp_matches(text, '(?i)được lập trình (để|bởi)|là một (trí tuệ nhân tạo|mô hình ai|ai\\b)|với tư cách là một (ai|trợ lý)|tôi (không có khả năng|là trợ lý)')
+_NOT_PLAIN = " and ".join(f"not regexp_matches(lower(text), '{p}')" for p in lexicon.sentence_patterns(r"\p{{{}}}"))
+
+
+@query(f"""with {sql.LINES} select doc_id, line from lines where len(regexp_extract_all(text, '\\p{{L}}+')) between 4 and 45 and {_NOT_PLAIN}
 and (length(text) - length(replace(text, '"', ''))) % 2 = 0 and length(text) - length(replace(text, '“', '')) = length(text) - length(replace(text, '”', ''))""")
 def plain_sentences(s, d):
     return _lines(s, d).where(lexicon.plain_sentence(F.col("text"))).select("doc_id", "line")
@@ -303,7 +304,7 @@ def far_words(s, d):
 def split_words(s, d):
     """R9, T11."""
     w = _languages(s, d)
-    return rank.split_runs(_open_keys(s, d, w), w)
+    return rank.split_runs(_open_keys(s, d, w), w, _pairs(s, d))
 
 
 @query(sql.KEYBOARD)
@@ -412,7 +413,28 @@ def typed_readings(s, d):
 def _decisions(s, d):
     h = F.coalesce(F.filter(F.split(F.trim("history"), r"\s+"), lambda x: x != ""), F.array().cast("array<string>"))
     c = _cases(s, d).select("case_id", telex_keys("typed").alias("raw"), h.alias("history"))
-    return rank.decide(c, _languages(s, d))
+    return rank.decide(c, _languages(s, d), bigrams=_pairs(s, d))
+
+
+def _pairs(s, d):
+    """(prev, word, p): how likely a word is behind another, from the documents; cut, as several plans read it."""
+    return cut(ngrams.bigram_probabilities(_tok(s, d), _known(s, d)).select("prev", "word", (F.col("n") / F.col("total")).alias("p")))
+
+
+_LANG_LN = "ln as (select word, vi from lang where vi is not null)"
+
+
+@query(f"""with {sql.TOK}, {sql.LEX}, {sql.KNOWN}, {sql.LANGUAGES}, {sql.BIGRAM}, {_LANG_LN},
+pr as (select distinct w as word, lead(w) over (partition by doc_id order by pos) as next from tok),
+p as (select pr.word, pr.next, a.vi as a, b.vi as b, bi.n / bi.total as p from pr left join ln a on a.word = pr.word left join ln b on b.word = pr.next left join bi on bi.prev = pr.word and bi.word = pr.next where pr.word <> '' and pr.next <> '')
+select word, next, round(case when a is null or b is null then 0.0 when p is null then ln(0.5) else ln(0.5 * p + 0.5 * exp(b - ln(1e9))) - (b - ln(1e9)) end, 6) as bonus from p""")
+def right_bonus(s, d):
+    """R14 for every two words that follow one another in the documents."""
+    pairs = ngrams.counts(_tok(s, d), 2, names=("word", "next")).select("word", "next")
+    vi = _languages(s, d).where("vi is not null")
+    j = pairs.join(small(vi.select("word", F.col("vi").alias("a"))), "word", "left").join(small(vi.select(F.col("word").alias("next"), F.col("vi").alias("b"))), "next", "left")
+    j = j.join(small(_pairs(s, d).select(F.col("prev").alias("word"), F.col("word").alias("next"), "p")), ["word", "next"], "left")
+    return j.select("word", "next", _r(rank.right_bonus(F.col("a"), F.col("b"), F.col("p"))).alias("bonus"))
 
 
 @query()
@@ -534,7 +556,6 @@ def diagnose(s, d):
     return p.groupBy("is_word").agg(F.count_if(F.col("k") == 0).alias("absent"), F.count_if(F.col("k") == 1).alias("first"), F.count_if(F.col("k") > 1).alias("lower"))
 
 
-_DICT = f"with {sql.CASES}, d as (select typed, arg_max(gold, [cast(n as varchar)]) as fix from (select typed, gold, count(*) as n from c where source like '%train' group by all) group by typed)"
 _DICT = f"with {sql.CASES}, k as (select typed, gold, count(*) as n from c where source like '%train' group by all), d as (select typed, gold as fix from (select *, row_number() over (partition by typed order by n desc, gold) as r from k) where r = 1), o as (select c.*, coalesce(d.fix, '') as output from c left join d using (typed) where source not like '%train')"
 
 

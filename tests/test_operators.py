@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -132,13 +133,36 @@ def test_signatures_cover_the_ways_to_type():
 LEXICON = [("vi", "không", 9_000_000), ("vi", "của", 8_000_000), ("vi", "khong", 900), ("vi", "quan", 500_000), ("vi", "hệ", 400_000), ("vi", "tiếng", 900_000), ("vi", "việt", 800_000), ("en", "the", 50_000_000), ("en", "separate", 20_000), ("en", "until", 90_000), ("en", "quan", 300), ("en", "viet", 200)]
 
 
+def test_context_decides_between_words(spark):
+    c = spark.createDataFrame([("k", "bàn", 9.0, 9.0, None, 10.0, None), ("k", "bán", 9.0, 9.0, None, 10.0, None), ("k", "ban", 9.0, None, 9.0, None, 10.0)], "keys string, word string, score double, as_vi double, as_en double, vi double, en double")
+    contexts = spark.createDataFrame([("k", "cái", 0.0), ("k", "người", 0.0), ("k", "", 1.0), ("k", "", -1.0)], "keys string, before string, vote double")
+    pairs = spark.createDataFrame([("cái", "bàn", 0.2), ("người", "bán", 0.3)], "prev string, word string, p double")
+    got = {(r.before, r.vote, r.word): r.score for r in rank.contextual(c, contexts, pairs).collect()}
+    raised = lambda p: 9.0 - 10.0 + math.log(0.5 * p + 0.5 * math.exp(10.0 - math.log(1e9))) + math.log(1e9)
+    assert abs(got["cái", 0.0, "bàn"] - raised(0.2)) < 1e-9 and abs(got["người", 0.0, "bán"] - raised(0.3)) < 1e-9
+    assert abs(got["cái", 0.0, "bán"] - 9.0) < 1e-9 and abs(got["", 1.0, "ban"] - 6.0) < 1e-9 and abs(got["", -1.0, "bàn"] - 6.0) < 1e-9 and abs(got["", -1.0, "ban"] - 9.0) < 1e-9
+    one = spark.createDataFrame([(10.0, 9.0, 0.2), (10.0, 9.0, None), (None, 9.0, 0.2)], "a double, b double, p double")
+    bonus = [r[0] for r in one.select(rank.right_bonus(F.col("a"), F.col("b"), F.col("p"))).collect()]
+    alone = math.exp(9.0) / 1e9
+    assert abs(bonus[0] - math.log((0.5 * 0.2 + 0.5 * alone) / alone)) < 1e-9 and abs(bonus[1] - math.log(0.5)) < 1e-9 and bonus[2] == 0.0
+
+
+def test_long_runs_are_cut(spark):
+    """Runs of any length, in one row: words of a run of eighty keys."""
+    words = spark.createDataFrame([("quan", 13.0, 5.0), ("hệ", 13.0, None), ("a", 14.0, None)], "word string, vi double, en double")
+    pairs = spark.createDataFrame([("quan", "hệ", 0.4), ("hệ", "quan", 0.4)], "prev string, word string, p double")
+    keys = spark.createDataFrame([("quanheej" * 10,), ("quanquan",), ("xyzzyxyz",)], "keys string")
+    assert rows(rank.split_runs(keys, words, pairs)) == [("quanheej" * 10, " ".join(["quan hệ"] * 10))]
+
+
 def test_decisions(spark):
     lex = spark.createDataFrame([(l, i, w, n) for i, (l, w, n) in enumerate(LEXICON)], "lexicon string, line_no long, word string, per_billion long")
     words = rank.languages(lex)
     typed = ["khoong", "khong", "teh", "Teh", "seperate", "untill", "khogn", "quanheej", "xyzzy", "ab", "jabc", "tieengs", "The", "mywrd", "igno", "x1y"]
     cases = spark.createDataFrame([(i, w, []) for i, w in enumerate(typed)] + [(90, "Khogn", ["the"]), (92, "vietj", ["until"]), (93, "vietj", [])], "case_id int, raw string, history array<string>")
     own = spark.createDataFrame([("mywrd", "my word"), ("igno", None)], "word string, fix string")
-    got = {r.case_id: (r.stage, r.fix) for r in rank.decide(cases, words, personal=own).collect()}
+    pairs = spark.createDataFrame([("quan", "hệ", 0.4), ("của", "việt", 0.2)], "prev string, word string, p double")
+    got = {r.case_id: (r.stage, r.fix) for r in rank.decide(cases, words, personal=own, bigrams=pairs).collect()}
     by = {w: got[i] for i, w in enumerate(typed)}
     assert by["khoong"][0] == by["tieengs"][0] == by["The"][0] == "known"
     assert by["khong"] == ("restored", "không") and by["teh"] == ("near", "the") and by["Teh"] == ("near", "The")
@@ -147,6 +171,10 @@ def test_decisions(spark):
     assert by["xyzzy"] == ("none", None) and by["ab"][0] == by["x1y"][0] == "not scored" and by["jabc"][0] == "protected"
     assert by["mywrd"] == ("personal fix", "my word") and by["igno"] == ("personal ignore", None) and got[90] == ("name", None)
     assert got[92] == ("english phrase", None) and got[93] == ("near", "việt")
+    # Without English a plain best candidate leaves the word alone, and without pairs nothing is cut.
+    few = cases.where("raw in ('teh', 'khogn', 'quanheej')")
+    code = {r.case_id: (r.stage, r.fix) for r in rank.decide(few, words, english=False).collect()}
+    assert code[typed.index("teh")] == ("plain", None) and code[typed.index("khogn")] == ("plain", None) and code[typed.index("quanheej")] == ("none", None)
     votes = rank.history_votes(spark.createDataFrame([(1, ["the", "không"]), (2, ["zz"])], "k int, h array<string>"), "k", "h", words)
     assert [(r.k, round(r.vote, 6)) for r in votes.orderBy("k").collect()] == [(1, 0.3), (2, 0.0)]
     revised = spark.createDataFrame([(1, "việt", 9.0, 0.0, False), (1, "viet", 99.0, 0.0, False), (2, "hệ", 9.0, 0.0, True)], "k int, word string, score double, keep double, expanded boolean")
