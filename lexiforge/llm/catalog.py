@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -237,18 +238,85 @@ report as (select plan.source, size, target, coalesce(given, 0) as given, coales
 """
 
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_ASCII = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_PARTS = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0x370, 0x530))}
+#: Look-alikes, and letters that are one with a mark.
+_TWINS = unify.LOOKALIKES | {c: made for c, d in _PARTS.items() if len(d) > 1 and d[0] in unify.LOOKALIKES and len(made := unicodedata.normalize("NFC", unify.LOOKALIKES[d[0]] + d[1:])) == 1}
+_FROM, _TO = "".join(_TWINS), "".join(_TWINS.values())
+_BLANK = "".join(f"\\x{{{i:04X}}}" for i in unify.BLANK)
+
+
+def _bare(x: str) -> str:
+    """Spaces, invisible characters, full-width forms and Latin twins replaced."""
+    x = f"regexp_replace({x}, '[\\p{{Cf}}{_BLANK}]', '', 'g')"
+    x = f"translate(regexp_replace({x}, '\\p{{Zs}}', ' ', 'g'), '{_WIDE}', '{_ASCII}')"
+    return f"nfc_normalize(translate({x}, '{''.join(unify.LATIN_TWINS)}', '{''.join(unify.LATIN_TWINS.values())}'))"
+
+
+def _twin(w: str) -> str:
+    """A word with its look-alikes as Latin letters, unless it is wholly in another script."""
+    return f"case when regexp_matches({w}, '\\p{{Latin}}') or regexp_full_match({w}, '[{_FROM}\\p{{M}}\\P{{L}}]+') then nfc_normalize(translate({w}, '{_FROM}', '{_TO}')) else {w} end"
+
+
+_VALUES = """
+with v as (select vsec_id, unnest(annotations) as a, unnest(range(0, len(annotations))) as pos from vsec),
+o as (select vsec_id, pos, unnest(a.alternative_syllables) as value, unnest(range(0, len(a.alternative_syllables))) as alt from v),
+x as (select 'vsec.current_syllable' as field, vsec_id as row_id, pos, -1 as alt, a.current_syllable as value from v union all
+select 'vsec.alternative_syllables', vsec_id, pos, alt, value from o union all select 'cases.typed', case_id, -1, -1, typed from cases),
+b as (select *, """ + _bare("value") + """ as bare from x where value is not null),
+f as (select *, """ + _twin("bare") + """ as form from b)
+"""
+_LISTS = """
+with c as (select case_id, arg_max({'source': source, 'history': history, 'typed': typed}, coalesce(loaded_at, timestamp '0001-01-01')) as c from cases where case_id is not null group by case_id),
+t as (select case_id, regexp_replace(lower(trim(c.source)), '[\\s-]+', '_', 'g') as source, """ + _bare("concat_ws(' ', c.history, c.typed)") + """ as text from c where c.typed is not null),
+w as (select case_id, source, case when source in ('vsec_dev', 'viwiki', 'synth_dev') then 0 when source in ('vsec_train', 'synth_train') then 1 end as side, list_transform(list_filter(string_split_regex(text, '[\\s\\x{0B}\\x{85}\\x{2028}\\x{2029}]+'), lambda x: x <> ''), lambda x: lower(""" + _twin("x") + """)) as w from t),
+l as (select *, len(w) as n from w where side is not null and len(w) > 0),
+k as (select distinct case_id, side, n, i, list_concat(w[1 : i - 1], w[i + 1 :]) as k from (select *, unnest(range(1, n + 1)) as i from l where n >= 4)),
+near as (
+select a.case_id as e, b.case_id as t from k a join k b on a.k = b.k and a.n = b.n and a.i = b.i where a.side = 0 and b.side = 1 union
+select a.case_id, b.case_id from k a join l b on a.k = b.w where a.side = 0 and b.side = 1 and b.n >= 4 union
+select a.case_id, b.case_id from l a join k b on a.w = b.k where a.side = 0 and b.side = 1 and a.n >= 4),
+same as (select a.case_id as e, b.case_id as t from l a join l b on a.w = b.w where a.side = 0 and b.side = 1),
+near_only as (select near.e, near.t from near anti join same using (e, t)),
+best as (select e, max(case when a.n < b.n then 1.0 else (a.n - 1) / a.n end) as covered from near_only join l a on a.case_id = e join l b on b.case_id = t group by e),
+per as (select source, same.e is not null as same, best.e is not null as near, case when same.e is not null then 1.0 else coalesce(covered, 0.0) end as covered from l left join (select distinct e from same) same on same.e = case_id left join best on best.e = case_id where side = 0)
+"""
+
+
+def _grams(table: str, key: str) -> str:
+    """(key, n, i, g): runs of eight words, or all words of a text with fewer."""
+    return f"""(select {key}, n, i, w[i : i + least(n, 8) - 1] as g from (select {key}, w, len(w) as n, unnest(range(1, len(w) - least(len(w), 8) + 2)) as i
+from (select {key}, list_filter(flatten(list_transform(regexp_extract_all({_bare("text")}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+'), lambda x: regexp_extract_all(lower({_twin("x")}), '[\\p{{L}}\\p{{Nd}}]+'))), lambda x: x <> '') as w from {table} where text is not null and {key} is not null) where len(w) > 0))"""
+
+
+# Long items by runs of eight words; the few shorter ones by their whole length.
+_LEAKS = f"""
+with i as {_grams("eval_items", "item_id")},
+d as (select doc_id, w, g, i from (select doc_id, 0 as w, i, g from {_grams("documents", "doc_id")})),
+hit as (select distinct item_id, doc_id, i.i as s, i.n as n from i join d on i.g = d.g where i.n >= 8),
+run as (select *, s - row_number() over (partition by item_id, doc_id order by s) as r from hit),
+long as (select item_id, doc_id, any_value(n) as n from hit group by item_id, doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """p7_found's size is in bytes there: its result doesn't depend on the tokenizer."""
     return {
         "p1_found": _P1 + "select scope, word, mark from marked where mark is not null",
         "p1_words": _P1 + "select scope, word, total, rows, records, mark from marked",
         "p1_ngrams": _NGRAMS,
+        "p2_found": _VALUES + "select distinct field, row_id, cast(pos as int) as pos, cast(alt as int) as alt from f where form <> value",
+        "p2_forms": _VALUES + "select lower(form) as form, count(distinct value) as spellings, count(*) as \"values\" from f group by lower(form)",
         "p3_found": _P3_FOUND,
         "p3_ranking": _P3 + "select id, model, pos, cast(place as int) as place, median, round(mean, 6) as mean from placed",
         "p3_overall": _OVERALL + "select model, item, median, round(mean, 6) as mean, place from placed",
         "p4_found": _P4 + "select set_name, class_name from report where short",
         "p4_report": _P4 + "select set_name, class_name, share, min_rows, available, seats, round(seats / greatest(size, 1), 6) as reached, short from report",
         "p4_sample": _P4 + "select id, set_name, class_name from taken where taken",
+        "p5_found": _LISTS + "select least(e, t) as case_id_a, greatest(e, t) as case_id_b from (select e, t from near union select same.e, same.t from same join l on l.case_id = same.e where n >= 4)",
+        "p5_report": _LISTS + "select source, count(*) as records, count(*) filter (same) as same, count(*) filter (near and not same) as near, round(avg(covered), 6) as coverage from per group by source",
+        "p6_found": _LEAKS + "select item_id, doc_id from long",
         "p7_found": _P7 + "select source from report where short",
         "p7_byte_report": _P7 + "select source, size, round(target, 3) as target, given, uses, round(share, 6) as share, short from report",
         "p7_byte_mix": _P7 + "select doc_id, source, tokens, uses from mix where uses > 0",
