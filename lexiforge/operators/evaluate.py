@@ -6,10 +6,10 @@ few counts are summed upwards."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ratio, softmax_top
+from ..session import ranged, running, small
 
 CURVE = [0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99]
 SWEEP = [0.5, 0.9, 0.99, 0.999, 0.9999, 0.99999]
@@ -147,10 +147,14 @@ def golden_report(cases: DataFrame, group: str = "grp", level: str = "level", ok
 def pick(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Of each group the value at index floor((n - 1) * share) in rising order.
 
-    Distinct values are counted first; a value is at the index if the counts up to it pass it."""
+    Distinct values are counted first and sorted by range; a value is at the index if the counts up to it
+    pass it. Counts are carried over range borders, so no group meets in one task."""
     d = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*groups).orderBy(value)
-    d = d.withColumn("_to", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy(*groups)))
+    d = ranged(d, *[F.col(g) for g in groups], F.col(value))
+    whole = d.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    d = running(d, groups, [F.col(value)], F.col("_range"), F.col("_n"), "_to")
+    on = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups]
+    d = d.alias("l").join(small(whole).alias("r"), on).select("l.*", "r._all")
     at = lambda s: F.floor((F.col("_all") - 1) * s)
     return d.groupBy(*groups).agg(F.max("_all").alias("n"), *[F.min(F.when(F.col("_to") > at(s), F.col(value))).alias(name) for name, s in shares.items()])
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ranged, running
+
 
 def by_pair(journal: DataFrame) -> DataFrame:
     """(keys, fix, fixed, undone)."""
@@ -48,15 +50,18 @@ def learned(journal: DataFrame, after: int = 2) -> DataFrame:
 
 
 def sessions(events: DataFrame, user: str, order: list[str], resets: Column, out: str = "session") -> DataFrame:
-    """ST7: adds the number of resets so far; a reset begins a session."""
-    w = W.partitionBy(user).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn(out, F.sum(F.coalesce(resets, F.lit(False)).cast("int")).over(w))
+    """ST7: adds the number of resets so far; a reset begins a session. Sums are carried over ranges of
+    (user, order), so a user with a third of all events is spread."""
+    order_ = [F.col(c) for c in order]
+    d = ranged(events.withColumn("_reset", F.coalesce(resets, F.lit(False)).cast("int")), F.col(user), *order_)
+    return running(d, [user], order_, F.col("_range"), F.col("_reset"), out).drop("_reset", "_range")
 
 
 def following(events: DataFrame, user: str, order: list[str], ts: str, word: str, ends: Column, n: int = 3, seconds: int = 60) -> DataFrame:
     """ST8 in batch: adds `right`: up to n following words of the user within the time, not past the end of a sentence."""
     w = W.partitionBy(user).orderBy(*order)
-    d = sessions(events, user, order, ends, "_ends").withColumn("_s", F.col("_ends") - F.coalesce(ends, F.lit(False)).cast("int"))
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    d = events.withColumn("_ends", F.sum(F.coalesce(ends, F.lit(False)).cast("int")).over(up_to)).withColumn("_s", F.col("_ends") - F.coalesce(ends, F.lit(False)).cast("int"))
     # The row that ends a sentence still belongs to it.
     nxt = [F.struct(F.lead(word, k).over(w).alias("w"), F.lead("_s", k).over(w).alias("s"), F.lead(ts, k).over(w).alias("t")) for k in range(1, n + 1)]
     d = d.withColumn("_n", F.array(*nxt))

@@ -99,7 +99,10 @@ def right_windows(s, d):
     return w.select("vsec_id", "pos", "at", F.array_join("window", " ").alias("window"))
 
 
-@query()
+@query(r"""with t as (select vsec_id, any_value(nfc_normalize(text)) as t from vsec where vsec_id is not null and text is not null group by vsec_id),
+p as (select vsec_id, regexp_extract_all(t, '(?s)[\p{L}\p{N}_]+|.') as p from t), e as (select vsec_id, unnest(p) as token, unnest(range(1, len(p) + 1)) as i from p),
+c as (select *, sum(length(token)) over (partition by vsec_id order by i) as b from e)
+select vsec_id, cast(row_number() over (partition by vsec_id order by i) as int) as pos, token, cast(b - length(token) as bigint) as start, cast(b as bigint) as "end" from c where not regexp_full_match(token, '[\s\p{Z}]')""")
 def token_spans(s, d):
     v = _t(s, d, "vsec").where("vsec_id is not null").dropDuplicates(["vsec_id"])
     return tokens.spans(v, "vsec_id", "text")
@@ -512,11 +515,19 @@ def safe_sweep(s, d):
     return w.withColumn("clean_per_1000", _r("clean_per_1000"))
 
 
-@query()
+_OWN = "list_transform(range(1, len(candidates) + 1), lambda i: case when {x}[i] is null or isnan({x}[i]) then -1e9 else {x}[i] end)"
+
+
+@query(f"""with {sql.SAMPLES}, {sql.TEACHERS}, {sql.thresholds('0.5, 0.9, 0.99, 0.999, 0.9999, 0.99999')},
+ways as (select model, class, list_position(list_transform(candidates, lambda x: lower(x.t) = lower(truth)), true) - 1 as gold, list_position(list_transform(candidates, lambda x: coalesce(x.keep, false)), true) - 1 as keep_at,
+unnest(['ngram', 'ngram_right', 'teacher_left', 'teacher_full']) as method, unnest([list_transform(candidates, lambda x: coalesce(x.s, -1e9)), list_transform(candidates, lambda x: coalesce(x.s, -1e9) + coalesce(x.r, 0.0)), {_OWN.format(x="ll_left")}, {_OWN.format(x="ll_full")}]) as v from s join tea using (id) where len(candidates) > 0),
+o as (select model, method, coalesce(class = 'clean', false) as c, list_position(v, list_max(v)) - 1 as top, case when gold >= 0 then gold end as gold, case when keep_at >= 0 then keep_at end as keep_at, 1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) as p from ways),
+k as (select *, coalesce(top <> keep_at, true) as f, coalesce(top = gold, false) as r from o)
+select model, method, tau as threshold, count(*) filter (f and p >= tau) as fixes, count(*) filter (f and p >= tau and r) as "right", count(*) filter (f and p >= tau and not r) as wrong, round(1000 * (count(*) filter (f and p >= tau and not r and c) / greatest(count(*) filter (c), 1)), 6) as clean_per_1000 from k, taus group by model, method, tau""")
 def teacher_sweep(s, d):
-    """A25-A27 with the teachers' choices and the letter-changing candidates."""
-    w = evaluate.safe_sweep(_chosen(s, d, True, "teacher-base"), F.col("class") == "clean")
-    return w.withColumn("clean_per_1000", _r("clean_per_1000"))
+    """A25-A27 with the choices of both teachers and the letter-changing candidates."""
+    swept = [evaluate.safe_sweep(_chosen(s, d, True, m), F.col("class") == "clean").withColumn("model", F.lit(m)) for m in ("teacher-base", "teacher-large")]
+    return swept[0].unionByName(swept[1]).withColumn("clean_per_1000", _r("clean_per_1000"))
 
 
 _CURVE = f"with {sql.CHOSEN}, {sql.thresholds('0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99')}, r as (select p, top as pred, gold, coalesce(class_name <> 'clean', false) as e from chosen where method = 'ngram_right'), m as (select tau as threshold, count(*) filter (p >= tau) as changed, count(*) filter (p >= tau and e) as detected, count(*) filter (p >= tau and e and coalesce(pred = gold, false)) as r, count(*) filter (e) as mistakes, count(*) filter (not e) as clean from r, taus group by tau)"
@@ -789,7 +800,7 @@ def embed_means(s, d):
 
 @query()
 def learned_choice(s, d):
-    """Candidates of the samples, learned on one half by hash, decided on the other."""
+    """Candidates of the samples; each half by hash is decided by what was learned on the other."""
     x = _samples(s, d).where(F.size("candidates") > 0).select("id", "typed", F.lower("truth").alias("golds"), F.posexplode("candidates").alias("k", "c"))
     from pyspark.sql import Window as W
 
@@ -797,4 +808,5 @@ def learned_choice(s, d):
     rows = x.select(F.col("id").alias("case_id"), "typed", "golds", F.col("c.t").alias("word"), F.coalesce("c.s", F.lit(-99.0)).alias("score"), F.lit("near").alias("stage"), F.row_number().over(w).alias("place"), F.count("*").over(W.partitionBy("id")).alias("n"), F.coalesce(F.col("c.s") - F.lead("c.s").over(w), F.lit(10.0)).alias("gap"))
     rows = rows.where("typed is not null and word is not null").withColumn("typed_score", F.lit(None).cast("double"))
     f = learned.features(rows).withColumn("_half", F.pmod(F.xxhash64("case_id"), F.lit(2)))
-    return learned.decide(learned.fit(f.where("_half = 0")), f.where("_half = 1"), tau=0.5).select("case_id", "word", _r("p", 4).alias("p"))
+    halves = [learned.decide(learned.fit(f.where(F.col("_half") == 1 - h)), f.where(F.col("_half") == h), tau=0.5) for h in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("case_id", "word", _r("p", 4).alias("p"))
