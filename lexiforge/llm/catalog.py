@@ -290,13 +290,13 @@ def _grams(table: str, key: str) -> str:
 from (select {key}, list_filter(flatten(list_transform(regexp_extract_all({_bare("text")}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+'), lambda x: regexp_extract_all(lower({_twin("x")}), '[\\p{{L}}\\p{{Nd}}]+'))), lambda x: x <> '') as w from {table} where text is not null and {key} is not null) where len(w) > 0))"""
 
 
-# Long items by runs of eight words; the few shorter ones by their whole length.
+# Items of eight words or more: runs of eight at one alignment that follow one another are one longer run.
 _LEAKS = f"""
-with i as {_grams("eval_items", "item_id")},
-d as (select doc_id, w, g, i from (select doc_id, 0 as w, i, g from {_grams("documents", "doc_id")})),
-hit as (select distinct item_id, doc_id, i.i as s, i.n as n from i join d on i.g = d.g where i.n >= 8),
-run as (select *, s - row_number() over (partition by item_id, doc_id order by s) as r from hit),
-long as (select item_id, doc_id, any_value(n) as n from hit group by item_id, doc_id)
+with i as {_grams("eval_items", "item_id")}, d as {_grams("documents", "doc_id")},
+hit as (select distinct item_id, doc_id, i.i as s, d.i - i.i as shift, i.n as n from i join d on i.g = d.g where i.n >= 8),
+run as (select *, s - row_number() over (partition by item_id, doc_id, shift order by s) as r from hit),
+length as (select item_id, doc_id, n, count(*) + 7 as words from run group by item_id, doc_id, shift, r, n),
+best as (select item_id, doc_id, max(words) as words, max(n) as n from length group by item_id, doc_id)
 """
 
 
@@ -316,7 +316,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_sample": _P4 + "select id, set_name, class_name from taken where taken",
         "p5_found": _LISTS + "select least(e, t) as case_id_a, greatest(e, t) as case_id_b from (select e, t from near union select same.e, same.t from same join l on l.case_id = same.e where n >= 4)",
         "p5_report": _LISTS + "select source, count(*) as records, count(*) filter (same) as same, count(*) filter (near and not same) as near, round(avg(covered), 6) as coverage from per group by source",
-        "p6_found": _LEAKS + "select item_id, doc_id from long",
+        "p6_found": _LEAKS + "select item_id, doc_id from best",
+        "p6_items": _LEAKS + "select item_id, count(*) as documents, cast(max(words) as int) as longest, max(cast(words = n as int)) as whole from best group by item_id",
         "p7_found": _P7 + "select source from report where short",
         "p7_byte_report": _P7 + "select source, size, round(target, 3) as target, given, uses, round(share, 6) as share, short from report",
         "p7_byte_mix": _P7 + "select doc_id, source, tokens, uses from mix where uses > 0",
